@@ -806,7 +806,14 @@ def _(spark, sf_dir):
 
 # ---- training and explanation --------------------------------------------------------------
 
+# Small models: these queries show the whole path, not the best model.
 SMALL = {"trees": 5, "depth": 3}
+SMALL_SPACE = {
+    "trees": lambda r: r.randint(2, 3),
+    "depth": lambda r: r.randint(2, 3),
+    "rate": training.SEARCH_SPACE["rate"],
+    "positive_weight": training.SEARCH_SPACE["positive_weight"],
+}
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -858,8 +865,7 @@ def _(spark, sf_dir):
 
 @query("hyper_parameter_search", "M9")
 def _(spark, sf_dir):
-    space = {"trees": lambda r: r.randint(2, 3), "depth": lambda r: r.randint(2, 3), "rate": training.SEARCH_SPACE["rate"]}
-    found = training.search(training_rows(spark, sf_dir), 2, space, folds=2)
+    found = training.search(training_rows(spark, sf_dir), 2, SMALL_SPACE, folds=2)
     return found.trials.drop("params")
 
 
@@ -925,7 +931,7 @@ def _(spark, sf_dir):
 
 @query("daily_cycle", "D4 D6 M9 R6")
 def _(spark, sf_dir):
-    cycle = retrain.daily_cycle(fixture.raw_transactions(spark, sf_dir), DRIFT_DAY, n_trials=1)
+    cycle = retrain.daily_cycle(fixture.raw_transactions(spark, sf_dir), DRIFT_DAY, 1, space=SMALL_SPACE, folds=2)
     document = cycle.rules.select(F.to_json(F.struct("*")).alias("rules"))
     return cycle.verdict.select("current_date", "drift_detected", document.scalar().alias("rules"))
 

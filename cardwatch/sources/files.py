@@ -20,7 +20,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def read_transactions(spark: SparkSession, path: str, schema: StructType = RAW_TRANSACTION) -> DataFrame:
     """Typed scan of headed CSV files; unreadable fields become NULL."""
-    return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", timestampNTZFormat=TIMESTAMP_TEXT)
+    reader = spark.read.schema(schema).options(header="true", mode="PERMISSIVE", timestampNTZFormat=TIMESTAMP_TEXT)
+    return reader.csv(path)
 
 
 def read_raw_strings(spark: SparkSession, path: str) -> DataFrame:
