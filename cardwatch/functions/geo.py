@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 EARTH_RADIUS_KM = 6371.0
 
 
-def _half_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Square of half the chord between two points, kept inside [0, 1]."""
+def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Great-circle distance in km; NULL when a coordinate is.
+
+    Rounding can push the half chord of antipodal points above 1, where the arcsine is
+    NaN: those are half a turn apart.  Each step appears once, so nothing is computed twice.
+    """
     phi1, lam1, phi2, lam2 = (F.radians(c.cast("double")) for c in (lat1, lon1, lat2, lon2))
     across = F.pow(F.sin((phi2 - phi1) / 2.0), F.lit(2.0))
     along = F.cos(phi1) * F.cos(phi2) * F.pow(F.sin((lam2 - lam1) / 2.0), F.lit(2.0))
-    # least() would turn a NULL coordinate into distance pi*R, so NULL stays NULL
-    total = across + along
-    return F.when(total > 1.0, F.lit(1.0)).otherwise(total)
-
-
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in km, arctangent form."""
-    a = _half_chord(lat1, lon1, lat2, lon2)
-    return F.atan2(F.sqrt(a), F.sqrt(1.0 - a)) * (2.0 * EARTH_RADIUS_KM)
+    return F.nanvl(F.asin(F.sqrt(across + along)), F.lit(math.pi / 2)) * (2.0 * EARTH_RADIUS_KM)
 
 
 def staging_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """The arcsine form the staging view stores, to two decimals."""
-    a = _half_chord(lat1, lon1, lat2, lon2)
-    return (F.asin(F.sqrt(a)) * (2.0 * EARTH_RADIUS_KM)).cast("decimal(10,2)")
+    """The distance as the staging view stores it, to two decimals."""
+    return haversine_km(lat1, lon1, lat2, lon2).cast("decimal(10,2)")
 
 
 def latlon_to_xyz(lat: Column, lon: Column) -> tuple[Column, Column, Column]:

@@ -39,7 +39,7 @@ def list_contains(items: Column, item: Column) -> Column:
 
 def map_get(mapping: Column, key: str, default: Column | float | None = None) -> Column:
     fallback = default if isinstance(default, Column) else F.lit(default)
-    return F.coalesce(mapping.getItem(F.lit(key)), fallback)
+    return F.coalesce(mapping[key], fallback)
 
 
 def class_label(flag: Column, positive: str = "suspect", negative: str = "clean") -> Column:

@@ -14,7 +14,7 @@ DATASET_YEAR = 2020
 
 
 def txn_day(ts: Column) -> Column:
-    return F.to_date(F.date_trunc("day", ts))
+    return F.to_date(ts)
 
 
 def parse_timestamp(text: Column) -> Column:

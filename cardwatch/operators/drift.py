@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cardwatch.operators.filters import TS
 from cardwatch.operators.ordered import running_totals
+from cardwatch.session import durable
 
 # Windows in days, alarm thresholds, smallest testable window.
 REFERENCE_DAYS, CURRENT_DAYS = 30, 1
@@ -107,7 +109,8 @@ def drift_flags(statistics: DataFrame) -> DataFrame:
 
 
 def column_drift(tagged: DataFrame, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
-    return drift_flags(wasserstein(tagged, numeric).unionByName(js_distance(tagged, categorical)))
+    statistics = [f(tagged, names) for f, names in ((wasserstein, numeric), (js_distance, categorical)) if names]
+    return drift_flags(reduce(DataFrame.unionByName, statistics))
 
 
 def drift_report(
@@ -118,7 +121,8 @@ def drift_report(
     More than half of the columns must drift; fewer than 20 current rows are not
     testable and count as no drift.
     """
-    tagged = drift_windows(df, day).select("part", *numeric, *categorical)
+    # several statistics read these few columns; the wide source is read once
+    tagged = durable(drift_windows(df, day).select("part", *numeric, *categorical), "drift-windows")
     details = column_drift(tagged, numeric, categorical)
     rows = tagged.agg(F.count(F.when(F.col("part") == "current", 1)).alias("n")).scalar()
     verdict = (

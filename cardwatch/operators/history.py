@@ -94,8 +94,18 @@ def enrich_as_of(
     hot, cold = split_hot(timeline, key, hot_rows)
 
     per_card = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cold = cold.withColumn("_last", F.last("_known", ignorenulls=True).over(per_card))
+    answered = cold.withColumn("_last", F.last("_known", ignorenulls=True).over(per_card))
+    if hot is not None:
+        answered = answered.unionByName(_carried_by_bucket(hot, key, order, bucket_micros).select(*answered.columns))
+    alive = F.col("_last.since") >= F.col(f"_request.{request_time}") - F.expr(f"INTERVAL {int(ttl_days)} DAYS")
+    return answered.filter("_kind = 1").select(
+        "_request.*", *[F.when(alive, F.col(f"_last.{c}")).alias(c) for c in wanted]
+    )
+
 
+def _carried_by_bucket(hot: DataFrame, key: str, order: list[str], bucket_micros: int) -> DataFrame:
+    """Last feature row at or before each point: inside its time bucket, else from the
+    closing state of the buckets before."""
     hot = hot.withColumn("_bucket", F.floor(F.col("_at") / bucket_micros))
     in_bucket = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # one row per card and bucket: the length of the time line bounds the next window
@@ -104,16 +114,10 @@ def enrich_as_of(
     )
     earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     opening = per_bucket.select(key, "_bucket", F.last("_closing", ignorenulls=True).over(earlier).alias("_opening"))
-    hot = (
+    return (
         hot.withColumn("_inside", F.last("_known", ignorenulls=True).over(in_bucket))
         .join(opening, [key, "_bucket"], "left")
         .withColumn("_last", F.coalesce("_inside", "_opening"))
-        .select(*cold.columns)
-    )
-    answered = cold.unionByName(hot).filter("_kind = 1")
-    alive = F.col("_last.since") >= F.col(f"_request.{request_time}") - F.expr(f"INTERVAL {int(ttl_days)} DAYS")
-    return answered.select(
-        "_request.*", *[F.when(alive, F.col(f"_last.{c}")).alias(c) for c in wanted]
     )
 
 
@@ -143,13 +147,14 @@ def velocity_features(
         return Window.partitionBy(key).orderBy("_at").rangeBetween(-width, 0)
 
     hour, day, week = (sliding(VELOCITY_WINDOWS[n]) for n in VELOCITY_WINDOWS)
-    cold = cold.select(
+    answered = cold.select(
         row_id,
         F.count(F.lit(1)).over(hour).alias("count_1h"),
         F.sum("_amt").over(day).alias("sum_24h"),
         (F.sum("_amt").over(week).cast("double") / F.count("_amt").over(week)).alias("avg_7d"),
     )
-    answered = cold.unionByName(_velocity_of_hot(hot, key, row_id, bucket_micros).select(*cold.columns))
+    if hot is not None:
+        answered = answered.unionByName(_velocity_of_hot(hot, key, row_id, bucket_micros))
     return df.join(answered, row_id)
 
 

@@ -27,7 +27,7 @@ def linear_weights(model: Model) -> dict[str, Weight]:
     names = [c for c in model.columns if c not in INDEXED_TEXT]
     labels = next((s.labelsArray for s in stages if hasattr(s, "labelsArray")), [])
     for column, values in zip([c for c in model.columns if c in INDEXED_TEXT], labels):
-        # the encoder keeps a place for unknown values after the known ones
+        # the index keeps a place for unknown values after the known ones
         names += [f"{column}_{v}" for v in values] + [f"{column}_unknown_value"]
     count = len(linear.coefficients)
     names += [f"{names[-1]}_{i}" for i in range(count - len(names))]

@@ -60,7 +60,6 @@ def vectorizer(columns: Sequence[str], output: str = "features") -> list:
             OneHotEncoder(
                 inputCols=[f"{c}_index" for c in indexed],
                 outputCols=[f"{c}_onehot" for c in indexed],
-                handleInvalid="keep",
                 dropLast=False,
             )
         )
