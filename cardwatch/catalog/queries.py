@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cardwatch import functions as fn
 from cardwatch.operators import alerts, drift, features as ft, filters, history, metrics, rules, sampling
@@ -22,7 +22,7 @@ OPERATORS: dict[str, str] = {}
 def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
     """Plain types on the outside: bigint, double (rounded), string, boolean."""
 
-    def plain(f: T.StructField) -> F.Column:
+    def plain(f: T.StructField) -> Column:
         column, kind = F.col(f.name), f.dataType
         if isinstance(kind, (T.DecimalType, T.DoubleType, T.FloatType)):
             column = F.round(column.cast("double"), digits)
@@ -204,7 +204,7 @@ def _(spark, sf_dir):
         spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("mart"), "n_rows")
         for name in names
     ]
-    return training._union(counts)
+    return training.union_all(counts)
 
 
 # ---- projections and filters -------------------------------------------------------
@@ -276,7 +276,7 @@ def _(spark, sf_dir):
                 F.lit(mode).alias("geo_mode"), F.lit(len(names)).alias("n_features"), "category", "n_rows"
             )
         )
-    return training._union(parts)
+    return training.union_all(parts)
 
 
 @query("on_demand_features", "P8 F19")
@@ -313,7 +313,7 @@ def _(spark, sf_dir):
         present = ft.project(rows, name).agg(*[F.count(c).alias(c) for c in columns])
         filled = sum((F.col(c) for c in columns), F.lit(0))
         parts.append(present.select(F.lit(name).alias("feature_set"), F.lit(len(columns)).alias("n_features"), filled.alias("filled_values")))
-    return training._union(parts)
+    return training.union_all(parts)
 
 
 @query("outlier_cut", "P11 J5")
@@ -334,9 +334,8 @@ def _(spark, sf_dir):
 @query("first_days", "P14")
 def _(spark, sf_dir):
     rows = fact(spark, sf_dir)
-    return filters.first_days(rows, 10, inclusive=True).agg(F.count(F.lit(1)).alias("inclusive_rows")).crossJoin(
-        filters.first_days(rows, 10).agg(F.count(F.lit(1)).alias("exclusive_rows"))
-    )
+    closed, open_ended = (filters.first_days(rows, 10, inclusive=i).agg(F.count(F.lit(1)).alias("n")) for i in (True, False))
+    return closed.select(F.col("n").alias("inclusive_rows"), open_ended.scalar().alias("exclusive_rows"))
 
 
 @query("last_day_window", "P15")

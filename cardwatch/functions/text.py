@@ -27,7 +27,7 @@ def strip_prefix(name: Column, prefix: str) -> Column:
 
 def leaf_name(name: Column) -> Column:
     """`onehot__category_travel` -> `category_travel`."""
-    return F.element_at(F.split(name, "__"), -1)
+    return F.substring_index(name, "__", -1)
 
 
 def underscored(name: Column) -> Column:
@@ -35,12 +35,12 @@ def underscored(name: Column) -> Column:
 
 
 def run_model_type(run_name: Column) -> Column:
-    return F.element_at(F.split(run_name, "_"), 1)
+    return F.substring_index(run_name, "_", 1)
 
 
 def run_ratio(run_name: Column) -> Column:
     """The number before a final `pc` part, else N/A."""
-    tail = F.element_at(F.split(run_name, "_"), -1)
+    tail = F.substring_index(run_name, "_", -1)
     return F.when(F.contains(tail, F.lit("pc")), F.replace(tail, F.lit("pc"), F.lit(""))).otherwise(F.lit("N/A"))
 
 

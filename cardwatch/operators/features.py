@@ -33,7 +33,7 @@ for _kind, _extra in {"cartesian": CLIENT_XYZ + MERCHANT_XYZ, "cell": CELLS}.ite
         f"{_kind}_4_no_city_pop": BASE_FEATURES + TIME_FEATURES + _extra,
     }
 # Text columns whose number of values grows with the data are hashed, not indexed.
-UNBOUNDED_TEXT = set(_PERSONAL) | set(_PLACE) | set(CELLS)
+UNBOUNDED_TEXT = {"merchant", "first", "last", "street", "job", "trans_num", *_PLACE, *CELLS}
 
 
 def cyclic_time(df: DataFrame, ts: str = "trans_date_trans_time", decimal_hour: bool = False) -> DataFrame:

@@ -65,10 +65,9 @@ def _significant(contributions: DataFrame, floored: bool) -> DataFrame:
         cut = F.when(F.col("spread") < LOW_SPREAD, F.lit(LOW_SPREAD_CUT)).otherwise(F.col("spread"))
     else:
         cut = F.col("spread")
-    # as many rows as encoded columns; left to the optimiser to broadcast
-    return contributions.join(spread.select("feature", "is_binary", cut.alias("cut")), "feature").filter(
-        F.col("contribution") > F.col("cut")
-    )
+    # one row per model coefficient, a vector the driver already holds
+    cuts = F.broadcast(spread.select("feature", "is_binary", cut.alias("cut")))
+    return contributions.join(cuts, "feature").filter(F.col("contribution") > F.col("cut"))
 
 
 def mine_thresholds(contributions: DataFrame) -> DataFrame:
@@ -102,8 +101,8 @@ def mine_cyclic(contributions: DataFrame) -> DataFrame:
         contributions.filter(F.col("feature").isin(names))
         .select(
             "trans_num",
-            F.element_at(F.split("feature", "_"), 1).alias("part"),
-            F.element_at(F.split("feature", "_"), 2).alias("wave"),
+            F.substring_index("feature", "_", 1).alias("part"),
+            F.substring_index("feature", "_", -1).alias("wave"),
             "value",
             "contribution",
         )
@@ -117,7 +116,7 @@ def mine_cyclic(contributions: DataFrame) -> DataFrame:
     decoded = F.when(F.col("part") == "month", fn.decode_month(F.col("sine"), F.col("cosine")))
     for part in ("hour", "weekday"):
         decoded = decoded.when(F.col("part") == part, fn.decode_cycle(F.col("sine"), F.col("cosine"), CYCLES[part]))
-    # at most 24 values a part are left after this aggregate, whatever the rows
+    # three rows
     per_part = pairs.groupBy("part").agg(F.stddev_samp("contribution").alias("cut"))
     return (
         pairs.join(F.broadcast(per_part), "part")

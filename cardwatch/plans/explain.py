@@ -77,8 +77,7 @@ def contribution_rows(df: DataFrame, weights: Mapping[str, Weight], key: str = "
 
 
 def _grouped_name() -> Column:
-    part = F.element_at(F.split("feature", "_"), 1)
-    wave = F.element_at(F.split("feature", "_"), -1)
+    part, wave = F.substring_index("feature", "_", 1), F.substring_index("feature", "_", -1)
     name = F.col("feature")
     for prefix, label in GROUPS.items():
         name = F.when((part == prefix) & wave.isin("sin", "cos"), F.lit(label)).otherwise(name)

@@ -38,10 +38,12 @@ TREES, DEPTH, RATE = 100, 6, 0.1
 
 
 def model_input(name: str) -> Column:
-    """A column as the type the vectoriser takes; what is missing becomes `unknown` or 0."""
+    """A column as the type the vectoriser takes: text, or a number (a date counts days).
+    What is missing becomes `unknown` or 0."""
     if name in INDEXED_TEXT or name in ft.UNBOUNDED_TEXT:
         return F.coalesce(F.col(name).cast("string"), F.lit("unknown")).alias(name)
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0)).alias(name)
+    number = F.unix_date(F.col(name)) if name == "dob" else F.col(name)
+    return F.coalesce(number.cast("double"), F.lit(0.0)).alias(name)
 
 
 def vectorizer(columns: Sequence[str], output: str = "features") -> list:
@@ -183,7 +185,7 @@ def evaluate(df: DataFrame, model: Model, name: str) -> DataFrame:
     return classification_metrics(matrix).select(F.lit(name).alias("run_name"), "*")
 
 
-def _union(frames: Sequence[DataFrame]) -> DataFrame:
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -209,7 +211,7 @@ def sweep(
             "num_features", F.lit(len(sets[name]))
         )
 
-    return _union(_in_threads(df.sparkSession, one, list(sets), parallelism))
+    return union_all(_in_threads(df.sparkSession, one, list(sets), parallelism))
 
 
 def sampling_sweep(
@@ -236,7 +238,7 @@ def sampling_sweep(
         name, fit, sample = case
         return evaluate(test, fit(sample(train)), name)
 
-    return _union(_in_threads(df.sparkSession, one, cases, parallelism))
+    return union_all(_in_threads(df.sparkSession, one, cases, parallelism))
 
 
 def cross_validate(
@@ -263,9 +265,9 @@ def cross_validate(
             auc = roc_auc(scored).scalar()
             figures = classification_metrics(confusion_matrix(scored))
             rows.append(figures.select(F.lit(fold).alias("fold"), F.lit(part).alias("part"), "*", auc.alias("roc_auc")))
-        return _union(rows)
+        return union_all(rows)
 
-    return _union(_in_threads(df.sparkSession, one, list(range(k)), parallelism))
+    return union_all(_in_threads(df.sparkSession, one, list(range(k)), parallelism))
 
 
 # The search space of the boosted-tree tuning.

@@ -25,6 +25,9 @@ def build_session(app_name: str = "cardwatch", master: str | None = None, **conf
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
         .config("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+        # the JVM never compiles methods above 8000 bytes of code: a very wide projection
+        # runs faster split up than fused into one interpreted method
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)

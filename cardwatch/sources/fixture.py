@@ -5,9 +5,10 @@ Whole-number arithmetic on ids, so any engine gets the same values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardwatch import functions as fn
+from cardwatch.operators.features import POSITIONS
 from cardwatch.operators.rules import fast_pass
 from cardwatch.schema import RULES
 
@@ -23,17 +24,42 @@ FIXTURE_RULES = {
 ATTRIBUTION_STEPS = {"amt": 17, "distance_achat": 23, "age": 29, "city_pop": 41, "hour_sin": 43, "hour_cos": 47}
 
 
-def _below(expression: Column, limit: int) -> Column:
-    return F.pmod(expression, F.lit(limit))
+RAW_SQL = """
+  ts AS trans_date_trans_time
+  user_id + 4000000000000000 AS cc_num
+  concat('m', (user_id * 7 + event_id) % 37) AS merchant
+  event_type AS category
+  CAST(value AS DECIMAL(10,2)) AS amt
+  split_part(c_name, '#', 1) AS first
+  split_part(c_name, '#', 2) AS last
+  IF(user_id % 2 = 0, 'F', 'M') AS gender
+  concat(user_id % 90 + 1, ' Main Street') AS street
+  concat('city', user_id % 200) AS city
+  concat('state', user_id % 50) AS state
+  CAST(user_id * 37 % 90000 + 10000 AS INT) AS zip
+  {lat} AS lat
+  {long} AS long
+  CAST(user_id * 6151 % 20000 + 100 AS INT) AS city_pop
+  c_mktsegment AS job
+  make_date(CAST(user_id % 60 + 1940 AS INT), CAST(user_id % 12 + 1 AS INT), CAST(user_id % 28 + 1 AS INT)) AS dob
+  concat('t', event_id) AS trans_num
+  CAST(floor(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1000000) AS BIGINT) AS unix_time
+  {merch_lat} AS merch_lat
+  {merch_long} AS merch_long
+  IF(event_id % 13 = 0, 1, 0) AS is_fraud
+  event_id
+"""
 
 
-def fixture_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(FIXTURE_RULES[name] for name in RULES.names)], RULES)
+def scaled(whole: str, digits: int, kind: str) -> str:
+    """A whole number with the decimal point moved left."""
+    return f"CAST(CAST({whole} AS DECIMAL(12,0)) * {10**-digits:.{digits}f}BD AS {kind})"
 
 
-def attribution(event: Column, step: int) -> Column:
-    thousandths = _below(event * step, 2001) - 1000
-    return (thousandths.cast("decimal(10,3)") / 1000).cast("decimal(10,3)")
+def fixture_rules(spark: SparkSession) -> DataFrame:
+    limits = ", ".join(f"'{k}', {v}D" for k, v in FIXTURE_RULES["thresholds"].items())
+    lists = [f"CAST(array({', '.join(map(repr, FIXTURE_RULES[f.name]))}) AS {f.dataType.simpleString()}) AS {f.name}" for f in RULES.fields[1:]]
+    return spark.sql("SELECT 1").selectExpr(f"map({limits}) AS thresholds", *lists)
 
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,73 +70,37 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_from_events(events: DataFrame, customer: DataFrame) -> DataFrame:
-    user, event = F.col("user_id"), F.col("event_id")
-    names = customer.select("c_custkey", "c_name", "c_mktsegment")
-    degrees = "decimal(10,6)"
-
-    def hundredths(value: Column) -> Column:
-        return (value.cast("decimal(12,0)") / 100).cast(degrees)
-
-    lat = (hundredths(_below(user * 7919, 2400)) + 25).cast(degrees)
-    lon = (hundredths(_below(user * 104729, 5000)) - 120).cast(degrees)
-    city_pop = (_below(user * 6151, 20000) + 100).cast("int")
-    return events.join(names, F.col("user_id") == F.col("c_custkey")).select(
-        F.col("ts").alias("trans_date_trans_time"),
-        (user + 4000000000000000).alias("cc_num"),
-        F.concat(F.lit("m"), _below(user * 7 + event, 37).cast("string")).alias("merchant"),
-        F.col("event_type").alias("category"),
-        F.col("value").cast("decimal(10,2)").alias("amt"),
-        F.element_at(F.split("c_name", "#"), 1).alias("first"),
-        F.element_at(F.split("c_name", "#"), 2).alias("last"),
-        F.when(_below(user, 2) == 0, F.lit("F")).otherwise(F.lit("M")).alias("gender"),
-        F.concat((_below(user, 90) + 1).cast("string"), F.lit(" Main Street")).alias("street"),
-        F.concat(F.lit("city"), _below(user, 200).cast("string")).alias("city"),
-        F.concat(F.lit("state"), _below(user, 50).cast("string")).alias("state"),
-        (_below(user * 37, 90000) + 10000).cast("int").alias("zip"),
-        lat.alias("lat"),
-        lon.alias("long"),
-        city_pop.alias("city_pop"),
-        F.col("c_mktsegment").alias("job"),
-        F.make_date(
-            (_below(user, 60) + 1940).cast("int"),
-            (_below(user, 12) + 1).cast("int"),
-            (_below(user, 28) + 1).cast("int"),
-        ).alias("dob"),
-        F.concat(F.lit("t"), event.cast("string")).alias("trans_num"),
-        F.floor(fn.epoch_micros(F.col("ts")) / 1_000_000).alias("unix_time"),
-        (lat + hundredths(_below(event * 13, 200) - 100)).cast(degrees).alias("merch_lat"),
-        (lon + hundredths(_below(event * 31, 200) - 100)).cast(degrees).alias("merch_long"),
-        F.when(_below(event, 13) == 0, 1).otherwise(0).alias("is_fraud"),
-        event.alias("event_id"),
-    )
+    lat, lon = "user_id * 7919 % 2400 + 2500", "user_id * 104729 % 5000 - 12000"
+    degrees = {
+        "lat": scaled(lat, 2, "DECIMAL(10,6)"),
+        "long": scaled(lon, 2, "DECIMAL(10,6)"),
+        "merch_lat": scaled(f"{lat} + event_id * 13 % 200 - 100", 2, "DECIMAL(10,6)"),
+        "merch_long": scaled(f"{lon} + event_id * 31 % 200 - 100", 2, "DECIMAL(10,6)"),
+    }
+    joined = events.join(customer, events["user_id"] == customer["c_custkey"])
+    return joined.selectExpr(*[line.strip() for line in RAW_SQL.format(**degrees).strip().splitlines()])
+
+
+def attribution(step: int) -> str:
+    return scaled(f"event_id * {step} % 2001 - 1000", 3, "DECIMAL(10,3)")
 
 
 def score_fixture(raw: DataFrame, rules: DataFrame) -> DataFrame:
     """Predictions, rule score and attributions derived from the event id."""
-    event = F.col("event_id")
-    predicted = (F.col("amt") > 150) | (_below(event, 26) == 0)
-    share = (_below(event, 5000).cast("decimal(12,0)") / 10000).cast("decimal(5,4)")
-    pairs = [
-        F.concat(F.lit(f'"{key}":'), attribution(event, step).cast("string"))
-        for key, step in ATTRIBUTION_STEPS.items()
-    ]
-    document = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
-    scored = (
-        raw.withColumn("distance_achat", fn.haversine_km(*[F.col(c) for c in ("lat", "long", "merch_lat", "merch_long")]))
-        .withColumn("age", fn.age(F.col("dob")))
-        .withColumn("prediction", F.when(predicted, 1).otherwise(0))
-        .withColumn(
-            "prediction_proba",
-            (share + F.when(predicted, F.lit(0.5)).otherwise(F.lit(0.0)).cast("decimal(5,4)")).cast("decimal(5,4)"),
-        )
-        .withColumn("prediction_latency_ms", (_below(event * 37, 2500).cast("decimal(12,0)") / 100).cast("decimal(10,4)"))
-    )
-    suspicious = (F.col("prediction") == 1) | (F.col("fast_pass_suspicion") == 1)
+    predicted = "amt > 150 OR event_id % 26 = 0"
+    share = f"event_id % 5000 + IF({predicted}, 5000, 0)"
+    document = ", ',', ".join(f"""'"{key}":', {attribution(step)}""" for key, step in ATTRIBUTION_STEPS.items())
+    scored = raw.selectExpr(
+        "*",
+        f"IF({predicted}, 1, 0) AS prediction",
+        f"{scaled(share, 4, 'DECIMAL(5,4)')} AS prediction_proba",
+        f"{scaled('event_id * 37 % 2500', 2, 'DECIMAL(10,4)')} AS prediction_latency_ms",
+        "'fraud_detector_v1' AS model_version",
+        "trans_date_trans_time AS logged_at",
+    ).withColumns({"distance_achat": fn.haversine_km(*[F.col(c) for c in POSITIONS]), "age": fn.age(F.col("dob"))})
     return (
         fast_pass(scored, rules)
-        .withColumn("shap_values", F.when(suspicious, document))
-        .withColumn("model_version", fn.version_label(1))
-        .withColumn("logged_at", F.col("trans_date_trans_time"))
+        .selectExpr("*", f"IF(prediction = 1 OR fast_pass_suspicion = 1, concat('{{', {document}, '}}'), NULL) AS shap_values")
         .drop("distance_achat", "age")
     )
 
@@ -122,23 +112,19 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contributions(scored: DataFrame) -> DataFrame:
     """Attribution rows (trans_num, feature, value, contribution) for rule mining."""
-    event = F.col("event_id")
-    angles = fn.cyclic_columns(F.col("trans_date_trans_time"))
-    values = {
-        "amt": F.col("amt"),
-        "distance_achat": fn.staging_distance(*[F.col(c) for c in ("lat", "long", "merch_lat", "merch_long")]),
-        "age": fn.age(F.col("dob")),
-        "city_pop": F.col("city_pop"),
-        **{f"category_{c}": (F.col("category") == c).cast("int") for c in ("view", "signup", "error", "click", "purchase")},
-        "gender_F": (F.col("gender") == "F").cast("int"),
-        **angles,
-    }
-    entries = [
-        F.struct(
-            F.lit(name).alias("feature"),
-            value.cast("double").alias("value"),
-            attribution(event, 11 + 6 * place).cast("double").alias("contribution"),
-        )
+    measured = scored.withColumns(
+        {
+            **fn.cyclic_columns(F.col("trans_date_trans_time")),
+            "distance_achat": fn.staging_distance(*[F.col(c) for c in POSITIONS]),
+            "age": fn.age(F.col("dob")),
+        }
+    )
+    values = {c: c for c in ("amt", "distance_achat", "age", "city_pop")}
+    values |= {f"category_{c}": f"category = '{c}'" for c in ("view", "signup", "error", "click", "purchase")}
+    values |= {"gender_F": "gender = 'F'"}
+    values |= {f"{part}_{wave}": f"{part}_{wave}" for part in ("hour", "weekday", "month") for wave in ("sin", "cos")}
+    entries = ", ".join(
+        f"struct('{name}' AS feature, CAST({value} AS DOUBLE) AS value, CAST({attribution(11 + 6 * place)} AS DOUBLE) AS contribution)"
         for place, (name, value) in enumerate(values.items())
-    ]
-    return scored.select("trans_num", F.explode(F.array(*entries)).alias("e")).select("trans_num", "e.*")
+    )
+    return measured.selectExpr("trans_num", f"inline(array({entries}))")
