@@ -792,6 +792,12 @@ def _(spark, sf_dir):
     return drift.drift_head_tail(durable(tagged, "head-tail"))
 
 
+@query("head_tail_statistics", "D5 L12")
+def _(spark, sf_dir):
+    tagged = sampling.head_tail(drift_input(spark, sf_dir), 1000, "trans_date_trans_time", "trans_num")
+    return drift.small_sample_statistics(durable(tagged, "head-tail")).drop("freedom")
+
+
 @query("drift_report_file", "S10 K5 D4")
 def _(spark, sf_dir):
     path = scratch_path(spark, "drift")

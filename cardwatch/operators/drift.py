@@ -183,9 +183,9 @@ def _tail_probabilities(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFram
         yield batch[["column_name", "metric_value", "method"]]
 
 
-def small_sample_tests(tagged: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Tests used when the reference has at most 1000 rows: Kolmogorov-Smirnov for
-    numbers, chi-square for classes, a two-share z-test for two classes."""
+def small_sample_statistics(tagged: DataFrame, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """Test statistics used when the reference has at most 1000 rows: the largest
+    Kolmogorov-Smirnov gap for numbers, chi-square for classes, z for two classes."""
     largest = _cdf_gaps(tagged, numeric).groupBy("column_name").agg(
         F.max("gap").alias("statistic"),
         F.max("total_ref").cast("double").alias("n_ref"),
@@ -218,7 +218,12 @@ def small_sample_tests(tagged: DataFrame, numeric: Sequence[str], categorical: S
         F.greatest(F.col("classes") - 1, F.lit(1)).cast("int").alias("freedom"),
         F.when(F.col("classes") > 2, F.lit("chi-square p_value")).otherwise(F.lit("Z-test p_value")).alias("method"),
     )
-    statistics = largest.unionByName(classes)
+    return largest.unionByName(classes)
+
+
+def small_sample_tests(tagged: DataFrame, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """The statistics as p-values.  Only one row per column passes through Python."""
+    statistics = small_sample_statistics(tagged, numeric, categorical)
     tails = statistics.mapInPandas(_tail_probabilities, "column_name string, metric_value double, method string")
     return tails.withColumn("threshold", F.lit(P_VALUE_THRESHOLD))
 
