@@ -7,7 +7,7 @@ import os
 import time
 
 from cardwatch.catalog import QUERIES
-from cardwatch.session import build_session
+from cardwatch.session import build_session, clear_scratch
 
 HEADLINE = [
     "merchant_daily_metrics",
@@ -54,6 +54,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+    clear_scratch(spark)
     spark.stop()
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))

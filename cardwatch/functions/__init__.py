@@ -23,6 +23,7 @@ from cardwatch.functions.text import (
 )
 from cardwatch.functions.time import (
     age,
+    as_instant,
     cyclic_columns,
     decode_cycle,
     decode_month,
@@ -30,12 +31,13 @@ from cardwatch.functions.time import (
     parse_date,
     parse_timestamp,
     txn_day,
+    wall_clock,
 )
 
 __all__ = [
-    "age", "bin_file_name", "card_hash", "class_label", "cyclic_columns", "decode_cycle", "decode_month",
+    "age", "as_instant", "bin_file_name", "card_hash", "class_label", "cyclic_columns", "decode_cycle", "decode_month",
     "epoch_micros", "geo_cell", "haversine_km", "iso_utc", "json_number", "latlon_to_xyz", "leaf_name",
     "list_contains", "map_get", "parse_date", "parse_timestamp", "percent", "percent_text",
     "ratio_half_up", "run_model_type", "run_ratio", "staging_distance", "strip_prefix", "txn_day",
-    "underscored", "version_label",
+    "underscored", "version_label", "wall_clock",
 ]

@@ -32,6 +32,17 @@ def epoch_micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", origin, ts.cast("timestamp_ntz"))
 
 
+def as_instant(ts: Column) -> Column:
+    """A wall-clock time as the instant it would be in UTC, whatever the session time zone."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def wall_clock(instant: Column) -> Column:
+    """The inverse of `as_instant`."""
+    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), origin)
+
+
 def _phase(part: Column, period: int) -> Column:
     return part.cast("double") * (TURN / period)
 

@@ -28,7 +28,7 @@ from cardwatch.operators.sampling import (
     stratified_split,
     undersample,
 )
-from cardwatch.session import durable, shared_folder
+from cardwatch.session import durable, scratch_path
 
 LABEL, WEIGHT = "is_fraud", "row_weight"
 INDEXED_TEXT = ["category", "gender"]
@@ -101,7 +101,7 @@ def _fit(df: DataFrame, columns: Sequence[str], learner, scaled: bool = False, *
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/cardwatch/rdd")
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, "trees"))
     return Model(Pipeline(stages=[*stages, learner]).fit(rows), list(columns))
 
 

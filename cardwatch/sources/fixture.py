@@ -124,7 +124,7 @@ def contributions(scored: DataFrame) -> DataFrame:
     values |= {"gender_F": "gender = 'F'"}
     values |= {f"{part}_{wave}": f"{part}_{wave}" for part in ("hour", "weekday", "month") for wave in ("sin", "cos")}
     entries = ", ".join(
-        f"struct('{name}' AS feature, CAST({value} AS DOUBLE) AS value, CAST({attribution(11 + 6 * place)} AS DOUBLE) AS contribution)"
+        f"struct('{name}' AS feature, CAST({value} AS DOUBLE) AS value, (event_id * {11 + 6 * place} % 2001 - 1000) / 1000D AS contribution)"
         for place, (name, value) in enumerate(values.items())
     )
     return measured.selectExpr("trans_num", f"inline(array({entries}))")

@@ -134,9 +134,8 @@ def run_queue(
 
 
 def with_event_time(scored_stream: DataFrame, lateness: str) -> DataFrame:
-    """Watermarked copy: event time must be a zoned timestamp, so wall-clock times are read
-    in the session time zone and turned back on output."""
-    return scored_stream.withColumn(TS, F.col(TS).cast("timestamp")).withWatermark(TS, lateness)
+    """Watermarked copy.  Event time must be an instant, so wall-clock times are taken as UTC."""
+    return scored_stream.withColumn(TS, fn.as_instant(F.col(TS))).withWatermark(TS, lateness)
 
 
 def live_daily_metrics(scored_stream: DataFrame, lateness: str = "24 hours") -> DataFrame:
@@ -153,7 +152,7 @@ def live_daily_metrics(scored_stream: DataFrame, lateness: str = "24 hours") ->
             F.sum("transaction_amount").alias("total_volume"),
             F.count(F.when(F.col("is_predicted_fraud") == 1, 1)).alias("fraud_transactions_count"),
         )
-        .select(F.to_date("day.start").alias("transaction_date"), "*")
+        .select(F.to_date(fn.wall_clock(F.col("day.start"))).alias("transaction_date"), "*")
         .drop("day")
     )
 
@@ -161,4 +160,4 @@ def live_daily_metrics(scored_stream: DataFrame, lateness: str = "24 hours") ->
 def live_alerts(scored_stream: DataFrame, lateness: str = "24 hours") -> DataFrame:
     """Alert payloads as they happen, each transaction once within `lateness`."""
     once = with_event_time(scored_stream, lateness).dropDuplicatesWithinWatermark(["trans_num"])
-    return alert_payloads(once).withColumn("alert_ts", F.col("alert_ts").cast("timestamp_ntz"))
+    return alert_payloads(once.withColumn(TS, fn.wall_clock(F.col(TS))))

@@ -54,7 +54,8 @@ def main(sf_dir: str, names: list[str]) -> int:
     from cardwatch.session import build_session
 
     spark = build_session(
-        "check", "local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8", spark__driver__memory="16g"
+        "check", "local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8", spark__driver__memory="16g",
+        spark__sql__session__timeZone=os.environ.get("CHECK_TIME_ZONE", "UTC"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection, failed = connect(sf_dir), 0
