@@ -19,8 +19,9 @@ RANGE_ROWS = 1_000_000
 MAX_RANGES = 1_024
 
 
-def _range_index(hist: DataFrame, value: str, group: Sequence[str], range_rows: int) -> Column:
-    """Number of the value range a row falls in, cut at measured quantiles.
+def _range_index(hist: DataFrame, value: str, group: Sequence[str], range_rows: int) -> Column | None:
+    """Number of the value range a row falls in, cut at measured quantiles; None when
+    no group has more than `range_rows` values.
 
     The cuts are a handful of numbers per group; they enter the plan as literals,
     so a recomputed task puts every row in the same range again.
@@ -29,7 +30,7 @@ def _range_index(hist: DataFrame, value: str, group: Sequence[str], range_rows:
     largest = sizes.agg(F.max("n")).first()[0] or 0
     ranges = min(MAX_RANGES, math.ceil(largest / range_rows))
     if ranges <= 1:
-        return F.lit(0)
+        return None
     shares = [i / ranges for i in range(1, ranges)]
     cuts = hist.groupBy(*group).agg(F.percentile_approx(value, shares, 10_000).alias("cuts")).collect()
     index = F.lit(0)
@@ -58,25 +59,38 @@ def running_totals(
     """
     group = list(group)
     hist = durable(hist, "histogram")
-    tagged = hist.withColumn("value_range", _range_index(hist, value, group, range_rows))
+    index = _range_index(hist, value, group, range_rows)
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    if index is None:
+        # bounded: at most range_rows rows per group
+        ordered = whole.orderBy(value)
+        so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+        return hist.select(
+            *hist.columns,
+            *[F.sum(s).over(so_far).alias(f"cum_{s}") for s in sums],
+            *[F.sum(s).over(whole).alias(f"total_{s}") for s in sums],
+            F.lead(value).over(ordered).alias("next_value"),
+        )
+    tagged = hist.withColumn("value_range", index)
     per_range = tagged.groupBy(*group, "value_range").agg(
         *[F.sum(s).alias(f"sum_{s}") for s in sums], F.min(value).alias("low")
     )
-    # at most MAX_RANGES rows per group from here
-    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    # bounded: at most MAX_RANGES rows per group
     ordered = whole.orderBy("value_range")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     carried = per_range.select(
-        *group,
-        "value_range",
+        *[F.col(g).alias(f"of_{g}") for g in group],
+        F.col("value_range").alias("of_range"),
         *[F.coalesce(F.sum(f"sum_{s}").over(before), F.lit(0)).alias(f"before_{s}") for s in sums],
         *[F.sum(f"sum_{s}").over(whole).alias(f"total_{s}") for s in sums],
         F.lead("low").over(ordered).alias("next_low"),
     )
     inside = Window.partitionBy(*group, "value_range").orderBy(value)
     up_to_here = inside.rowsBetween(Window.unboundedPreceding, 0)
-    joined = tagged.join(F.broadcast(carried), [*group, "value_range"])
-    return joined.select(
+    same = F.col("value_range") == F.col("of_range")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
+    return tagged.join(F.broadcast(carried), same).select(
         *hist.columns,
         *[(F.col(f"before_{s}") + F.sum(s).over(up_to_here)).alias(f"cum_{s}") for s in sums],
         *[F.col(f"total_{s}") for s in sums],

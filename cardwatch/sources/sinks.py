@@ -20,7 +20,7 @@ def insert_if_absent(
     key column of the target and, for a batch of ordinary size, no shuffle of it.
     """
     first = first_by_key(batch, key, *(arrival or [F.col(key)]))
-    known = target.select(key).join(batch.select(key), key, "left_semi")
+    known = target.select(key).join(batch.select(key).distinct(), key, "left_semi")
     return first.join(known, key, "left_anti")
 
 
@@ -64,6 +64,7 @@ def backfill(
 ) -> DataFrame:
     """Keyed update: rows with a new score take it, all others stay as they are.
 
+    `new_scores` holds one row per key, as scoring the fact gives it.
     Write the result to a new path; files are never updated in place.
     """
     fresh = new_scores.select(key, *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("_hit"))
