@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardwatch.llm.common import BatchCache, space_units, whole_text
+from cardwatch.llm.common import BatchCache, space_units, text_chunks, whole_text
 
 _BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
 # values of the sentencepiece model format
@@ -109,6 +109,9 @@ class BytePairs:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [ids for chunk in text_chunks(texts) for ids in self._encode(chunk)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [space_units(text) for text in texts]
         self.first_units.need({units[0] for units in cut})
         self.later_units.need(set().union(*cut))

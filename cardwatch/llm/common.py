@@ -32,7 +32,7 @@ class BatchCache(dict):
     older ones go.
     """
 
-    def __init__(self, compute_many, limit: int = 600_000, longest: int = 48) -> None:
+    def __init__(self, compute_many, limit: int = 300_000, longest: int = 48) -> None:
         super().__init__()
         self.compute_many, self.limit, self.longest, self.long_keys = compute_many, limit, longest, []
 
@@ -49,6 +49,19 @@ class BatchCache(dict):
         self.long_keys = [key for key in missing if len(key) > self.longest]
 
 
+def text_chunks(texts: list[str], most_chars: int = 1 << 20):
+    """Consecutive texts with about `most_chars` together, so that their units fit in memory."""
+    chunk, held = [], 0
+    for text in texts:
+        chunk.append(text)
+        held += len(text)
+        if held >= most_chars:
+            yield chunk
+            chunk, held = [], 0
+    if chunk:
+        yield chunk
+
+
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _PAIRS = [blank + " " for blank in _BLANKS]
 _cut = re.compile(r"(?<=\S) ")

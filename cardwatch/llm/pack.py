@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cardwatch.llm.common import BatchCache, space_units, whole_text
+from cardwatch.llm.common import BatchCache, space_units, text_chunks, whole_text
 from cardwatch.session import durable
 
 BINS_PER_TASK = 100_000
@@ -38,6 +38,9 @@ class IdsByUnit:
         return [np.array(encode(unit, add_special_tokens=False).ids, "<u4").tobytes() for unit in units]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [ids for chunk in text_chunks(texts) for ids in self._encode(chunk)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [[text] if any(token in text for token in self.whole_only) else space_units(text) for text in texts]
         self.first.need({units[0] for units in cut})
         self.later.need(set().union(*(units[1:] for units in cut)))
