@@ -51,8 +51,14 @@ def test_counts_are_the_librarys(text):
 @settings(max_examples=200, deadline=None)
 @given(odd_text | st.just("a <|endoftext|>  b<|endoftext|>"))
 def test_packed_ids_are_the_librarys(text):
-    units = pack._ids_by_unit(JSON)
-    assert np.frombuffer(units.encode([text])[0], "<u4").tolist() == units.tokenizer.encode(text, add_special_tokens=False).ids
+    units = pack._text_ids(JSON)
+    assert units.encode(text).tolist() == units.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_and_rare_words_are_packed_alike():
+    units = pack._text_ids(JSON)
+    for text in ("x" * 5_000, "é" * 3_000 + " b", "日本語 " * 50, "Straße\n\n  a\u00a0b <|endoftext|>  c" * 20, "y" * 1_999):
+        assert units.encode(text).tolist() == units.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_op1(spark, sf_dir, documents, library):
