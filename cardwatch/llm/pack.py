@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from cardwatch.session import durable
 
 BINS_PER_TASK = 100_000
 LONG_WORD = 2_000
+MOST_BYTES = 4 << 20  # ids that a worker holds before it hands them on
 
 
 class WholeTextIds:
@@ -34,9 +35,8 @@ class WholeTextIds:
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             stored = json.load(file)
         if stored["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or stored["normalizer"]:
@@ -46,6 +46,12 @@ class WholeTextIds:
         ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in stored["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         plain = text.isascii() or max(text) < "\u0250"
         if plain and max(map(len, text.split()), default=0) < LONG_WORD:
@@ -73,21 +79,27 @@ def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
     is the end id alone.  Repeated keys and null keys give pieces of their own; other columns are left out.
     """
 
-    @F.arrow_udf("array<binary>")
-    def cut(texts: pa.Array) -> pa.Array:
-        end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        pieces = []
-        coder = _text_ids(tokenizer_path)
-        for text in texts:
-            ids = coder.encode(text.as_py()).tobytes() + end
-            first = len(ids) % step or step
-            pieces.append([ids[:first], *(ids[i : i + step] for i in range(first, len(ids), step))])
-        return pa.array(pieces, pa.list_(pa.binary()))
-
-    each = df.select(F.col(key).alias("doc_id"), cut(whole_text(text)).alias("cut")).select("doc_id", F.element_at("cut", 1).alias("head"), F.posexplode("cut"))
-    length = F.octet_length("col") / 4
-    start = F.when(F.col("pos") == 0, 0).otherwise(F.octet_length("head") / 4 + (F.col("pos") - 1) * capacity)
-    return each.select("doc_id", F.col("pos").alias("piece"), start.cast("long").alias("start"), length.cast("long").alias("length"), F.col("col").alias("ids"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, end, step = _text_ids(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        rows, held = [], 0
+        for batch in batches:
+            for id_, text in zip(batch.column(0), batch.column(1)):
+                ids = coder.encode(text.as_py()).tobytes() + end
+                cuts = [0, *range(len(ids) % step or step, len(ids) + 1, step)]
+                rows += [(id_.as_py(), piece, a // 4, (b - a) // 4, ids[a:b]) for piece, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+                held += len(ids)
+                if held >= MOST_BYTES:
+                    yield _piece_batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _piece_batch(rows)
+
+    return df.select(F.col(key).cast("long").alias("doc_id"), whole_text(text)).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, (_, kind) in zip(zip(*rows), kinds)], [name for name, _ in kinds])
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
