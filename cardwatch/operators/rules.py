@@ -21,9 +21,9 @@ def fast_pass(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Add `fast_pass_score` and `fast_pass_suspicion`.
 
     `rules` is the rule document: one row, or none, which scores everything 0.  It
-    is read as a scalar subquery, so no join takes part.
+    is read as a scalar subquery, so no join takes part; more than one document is an error.
     """
-    document = rules.limit(1).select(F.struct("*").alias("document")).scalar()
+    document = rules.select(F.struct("*").alias("document")).scalar()
     thresholds = document.getField("thresholds")
 
     def above(column: str) -> Column:

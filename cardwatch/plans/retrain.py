@@ -23,11 +23,10 @@ def mine_rules(contributions: DataFrame) -> DataFrame:
 
 
 def rules_from(df: DataFrame, quotas: dict[int, int] | None = None) -> DataFrame:
-    """Rules from a linear model's attributions of a balanced sample."""
+    """Rules from a linear model's attributions of all rows, or of a balanced sample if `quotas` are given."""
     rows = durable(ft.engineered(df), "rule-input")
     weights = linear_weights(train_lr(rows))
-    sample = balanced_sample(rows, quotas or {0: 800, 1: 200})
-    return mine_rules(contribution_rows(sample, weights))
+    return mine_rules(contribution_rows(balanced_sample(rows, quotas) if quotas else rows, weights))
 
 
 @dataclass(frozen=True)

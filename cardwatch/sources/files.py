@@ -67,8 +67,9 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_rules(documents: DataFrame, column: str) -> DataFrame:
-    parsed = F.from_json(F.col(column), RULES)
-    return documents.select(parsed.alias("rules")).filter("rules is not null").select("rules.*")
+    """Readable documents only: one that is no JSON, or has none of the fields, is no document."""
+    parsed = documents.select(F.from_json(F.col(column), RULES).alias("rules")).select("rules.*")
+    return parsed.dropna("all")
 
 
 REPORT = "map<string, map<string, string>>"

@@ -206,3 +206,12 @@ def test_marts_as_tables(spark, fact):
     names = warehouse.build_marts(fact, "gold")
     assert sorted(t.name for t in spark.catalog.listTables("gold") if not t.isTemporary) == sorted(names)
     assert spark.table("stg_transactions").count() == fact.count()
+
+
+def test_unreadable_or_empty_rules_are_no_rules(spark):
+    from cardwatch.sources.files import parse_rules
+
+    documents = spark.createDataFrame([("not json",), ("{}",), (None,)], "value string")
+    assert parse_rules(documents, "value").count() == 0
+    one = spark.createDataFrame([('{"thresholds": {"amt_max": 1.0}}',)], "value string")
+    assert parse_rules(documents.union(one), "value").count() == 1
