@@ -32,17 +32,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter("kept").select("_row.*")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows (doc, text, row): all columns of `docs`, and a number that no other row has.
+
+    That is the id where ids can tell rows apart.  With null or repeated ids a stored copy is
+    numbered in the order of the ids, null ids last.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("row"))
+    if not rows.groupBy("row").count().filter("row IS NULL OR count > 1").isEmpty():
+        placed = rows.withColumn("at", F.monotonically_increasing_id()).orderBy(F.col("row").asc_nulls_last(), "at")
+        rows = durable(placed.select("doc", F.monotonically_increasing_id().alias("row")), "numbered")
+    return rows.select("doc", "row", F.col("doc.text").alias("text"))
+
+
+def _without(rows: DataFrame, gone: DataFrame, label: str) -> DataFrame:
+    return rows.join(durable(gone.select(F.col("doc_id").alias("row")), label), "row", "left_anti").select("doc.*")
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of equal texts."""
-    gone = dedup.exact_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(durable(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of equal texts: the one with the smallest id, null ids last, also where ids repeat."""
+    rows = _numbered(docs)
+    return _without(rows, dedup.exact_duplicates(rows, key="row").filter(~F.col("kept")), "copies")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    found = jaccard.near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(durable(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: the one with the smallest id, null ids last, also where ids repeat."""
+    rows = _numbered(docs)
+    return _without(rows, jaccard.near_duplicates(rows, key="row").filter("doc_id <> component_id"), "near-copies")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,17 @@ def test_stages_with_odd_rows(spark, sf_dir, edge_docs, no_docs):
             if name != "best-fit packing":
                 assert out.columns == docs.columns
             assert out.filter(F.lit(True)).count() >= 0
+
+
+def test_copies_with_null_and_repeated_ids(spark, sf_dir):
+    words = " ".join(f"w{i}" for i in range(60))
+    given = [(7, words), (7, words), (None, words.replace(" ", "  ")), (None, words + " more"), (7, "other text"), (3, "b"), (3, "b"), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(given)], "doc_id long, text string, row int")
+    exact = corpus_pipeline.exact_copies(spark, docs, sf_dir)
+    assert exact.columns == docs.columns
+    left = [(r.doc_id, " ".join((r.text or "").split())) for r in exact.collect()]
+    assert sorted(left, key=str) == sorted([(7, words), (None, words + " more"), (7, "other text"), (3, "b"), (9, "")], key=str)
+    near = corpus_pipeline.near_copies(spark, exact, sf_dir)
+    assert near.columns == docs.columns
+    left = [(r.doc_id, " ".join((r.text or "").split())) for r in near.collect()]
+    assert sorted(left) == [(3, "b"), (7, "other text"), (7, words), (9, "")]
