@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.llm.common import whole_text
-from cardwatch.llm.features import labelled_sample, mean_scores
+from cardwatch.llm.features import labelled_sample, mean_scores, text_parts
 
 TRAINING_ROWS = 2_000
 BITS = 16
@@ -90,7 +90,8 @@ def with_scores(df: DataFrame, model: SubwordClassifier, text: str = "text", sco
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         weights, bias = shared.value
-        return pa.array(1 / (1 + np.exp(-(mean_scores(texts.to_pylist(), weights) + bias))))
+        means = np.concatenate([np.zeros(0), *(mean_scores(part, weights) for part in text_parts(texts))])
+        return pa.array(1 / (1 + np.exp(-(means + bias))))
 
     return df.withColumn(score, scored(whole_text(text)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +13,8 @@ from cardwatch.llm.common import whole_text
 
 CHAR_NGRAMS = (3, 4)
 WORD_NGRAMS = (1, 2)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18  # hashing takes about 150 bytes of memory a byte of text
+ROWS_AT_A_TIME = 500
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93
 
@@ -99,6 +101,12 @@ def _chunks(texts: list[str]):
         yield first, b"".join(held), np.array(ends)
 
 
+def text_parts(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch, a few rows at a time, so that they do not stand in memory a second time."""
+    for at in range(0, len(texts), ROWS_AT_A_TIME):
+        yield texts.slice(at, ROWS_AT_A_TIME).to_pylist()
+
+
 def mean_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Mean weight over all n-grams of each text; 0 for a text without any."""
     bits = len(weights).bit_length() - 1

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cardwatch.llm.common import whole_text
-from cardwatch.llm.features import labelled_sample, mean_scores
+from cardwatch.llm.features import labelled_sample, mean_scores, text_parts
 
 TRAINING_ROWS = 4_000
 BITS = 16
@@ -129,9 +129,12 @@ def with_rule_columns(df: DataFrame, model: CalibratedRegression, least: float =
 
     @F.arrow_udf(f"struct<{','.join(f'{c}:bigint' for c in COUNTS)},probability:double>")
     def judged(texts: pa.Array) -> pa.Array:
-        model, values = shared.value, texts.to_pylist()
-        counts = np.array([text_counts(value) for value in values], np.int64).reshape(-1, len(COUNTS))
-        probability = _sigmoid(model.slope * (mean_scores(values, model.weights) + model.bias) + model.shift)
+        model, counted, means = shared.value, [], [np.zeros(0)]
+        for part in text_parts(texts):
+            counted += map(text_counts, part)
+            means.append(mean_scores(part, model.weights))
+        counts = np.array(counted, np.int64).reshape(-1, len(COUNTS))
+        probability = _sigmoid(model.slope * (np.concatenate(means) + model.bias) + model.shift)
         return pa.StructArray.from_arrays([*(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(probability)], list(names))
 
     out = df.withColumn("_judged", judged(whole_text(text)))
