@@ -1,7 +1,8 @@
 """A corpus made fit for training: quality, rules, exact and near copies, packing.
 
 Every stage reads what the one before it has kept, as Parquet.  All but the last return the
-columns of `documents`.
+columns of `documents`.  Each stage sets the session's Arrow batches to BATCH_BYTES, as the workers of
+one stage go on to the next and keep the memory they have once taken.
 """
 
 from __future__ import annotations
@@ -13,6 +14,17 @@ from cardwatch.llm.common import table
 from cardwatch.session import durable
 
 
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _as_labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts to learn from: the raw documents, so that a stage learns the same whatever the one before dropped."""
     return table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,11 +79,11 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", quality_classifier),
-    ("quality rules", quality_rules),
-    ("exact dedup", exact_copies),
-    ("n-gram Jaccard join", near_copies),
-    ("best-fit packing", packing),
+    ("quality classifier", _small_batches(quality_classifier)),
+    ("quality rules", _small_batches(quality_rules)),
+    ("exact dedup", _small_batches(exact_copies)),
+    ("n-gram Jaccard join", _small_batches(near_copies)),
+    ("best-fit packing", _small_batches(packing)),
 ]
 
 ORACLE_SQL = None
