@@ -114,7 +114,7 @@ def _by_range(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _block_rows(block: int, docs: list[tuple], ranges: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one block; `docs` are (id, sorted hashes). Equal sets of the block travel once."""
+    """Rows of one block; `docs` are (id, sorted hashes) and are let go on the way. Equal sets of the block travel once."""
     first_of: dict[bytes, int] = {}
     sets: list[np.ndarray] = []
     rows = []
@@ -126,14 +126,20 @@ def _block_rows(block: int, docs: list[tuple], ranges: int) -> Iterator[pa.Recor
         rows.append({"target": number % ranges, "block": block, "kind": 2, "numbers": pack(np.array([number])), "id": id_, "no_id": id_ is None, "size": len(keys), "digest": digest})
     firsts = np.fromiter(first_of.values(), np.int64, len(first_of))
     keys = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    owner = np.repeat(firsts, [len(s) for s in sets])
+    owner = np.repeat(firsts.astype(np.int32), [len(s) for s in sets])
+    docs.clear()
+    sets.clear()
     order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    keys = keys[order]
+    owner = owner[order]
+    del order
+    changes = np.ones(len(keys), bool)
+    changes[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(changes)
     counts = np.diff(np.append(starts, len(keys)))
     frequent = counts >= FREQUENT
     is_frequent = np.repeat(frequent, counts)
-    kept = [[] for _ in docs]
+    kept = [[] for _ in rows]
     for key, number in zip(keys[is_frequent].tolist(), owner[is_frequent].tolist()):
         kept[number].append(key)
     for row, own in zip(rows, kept):
