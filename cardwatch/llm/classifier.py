@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardwatch.llm.common import whole_text
+from cardwatch.llm.common import give_back, whole_text
 from cardwatch.llm.features import labelled_sample, mean_scores, text_parts
 
 TRAINING_ROWS = 2_000
@@ -91,6 +91,7 @@ def with_scores(df: DataFrame, model: SubwordClassifier, text: str = "text", sco
     def scored(texts: pa.Array) -> pa.Array:
         weights, bias = shared.value
         means = np.concatenate([np.zeros(0), *(mean_scores(part, weights) for part in text_parts(texts))])
+        give_back()
         return pa.array(1 / (1 + np.exp(-(means + bias))))
 
     return df.withColumn(score, scored(whole_text(text)))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # [\x20\x09-\x0D] as one string, for trim()
@@ -25,6 +28,18 @@ def partitions_for(df: DataFrame, size: Column, per_partition: int) -> int:
     return max(1, -(-int(total) // per_partition))
 
 
+@lru_cache(1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: a worker outlives its stage, and would keep what it once took."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 class BatchCache(dict):
     """Results by key, computed for many missing keys at once.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardwatch.llm.common import partitions_for, whole_text
+from cardwatch.llm.common import give_back, partitions_for, whole_text
 from cardwatch.session import durable
 
 WORDS = 5
@@ -35,6 +35,7 @@ FREQUENT = 64  # documents of one block from which on a shingle is frequent
 FIRST_LEADERS, MORE_LEADERS = 4, 8
 BINS = 16
 HASH_BITS = 56
+KNOWN_WORDS = 100_000  # hashes of words that a task remembers, about 0.2 KB each
 _PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 _RARE = np.iinfo(np.int64).max
 
@@ -163,19 +164,24 @@ def _blocks(ranges: int, words: int):
                 part = partition
                 docs.append((id_, shingle_hashes(text, known, words)))
                 held += 8 * len(docs[-1][1])
-                if len(known) > 500_000:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 if len(docs) >= BLOCK_ROWS or held >= BLOCK_BYTES:
                     yield from _block_rows(part << 32 | block, docs, ranges)
                     docs, held, block = [], 0, block + 1
+                    give_back()
         if docs:
             yield from _block_rows(part << 32 | block, docs, ranges)
+        docs.clear()
+        known.clear()
+        give_back()
 
     return run
 
 
 def _count_range(table: pa.Table) -> pa.Table:
     """What a range sends back to the blocks: their shingles of two or more documents, with counts; documents pass."""
+    give_back()  # what the range before took
     kinds = table["kind"].to_numpy()
     out = table.filter(pa.array(kinds == 2)).select(["block", "kind", "keys", "numbers", "counts", "id", "no_id", "size", "digest"])
     shingles = table.filter(pa.array(kinds < 2))
@@ -208,6 +214,7 @@ SETS = "id long, no_id boolean, size int, digest binary, alone int, shared array
 def _rare_first(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Per document of a block: how many of its shingles are its own, the others rare first (if its prefix has any)."""
+        give_back()  # what the block before took
         kinds = table["kind"].to_numpy()
         docs = table.filter(pa.array(kinds == 2)).to_pylist()
         keys, owner, counts = [], [], []

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cardwatch.llm.common import whole_text
+from cardwatch.llm.common import give_back, whole_text
 from cardwatch.llm.features import labelled_sample, mean_scores, text_parts
 
 TRAINING_ROWS = 4_000
@@ -134,6 +134,7 @@ def with_rule_columns(df: DataFrame, model: CalibratedRegression, least: float =
             counted += map(text_counts, part)
             means.append(mean_scores(part, model.weights))
         counts = np.array(counted, np.int64).reshape(-1, len(COUNTS))
+        give_back()
         probability = _sigmoid(model.slope * (np.concatenate(means) + model.bias) + model.shift)
         return pa.StructArray.from_arrays([*(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(probability)], list(names))
 
