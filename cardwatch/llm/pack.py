@@ -16,12 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cardwatch.llm.common import whole_text
+from cardwatch.llm.common import give_back, whole_text
 from cardwatch.session import durable
 
 BINS_PER_TASK = 100_000
 LONG_WORD = 2_000
 MOST_BYTES = 4 << 20  # ids that a worker holds before it hands them on
+PACKED_BYTES = 16 << 20  # bins that a task packs at a time
 
 
 class WholeTextIds:
@@ -93,6 +94,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
                     rows, held = [], 0
         if rows:
             yield _piece_batch(rows)
+        del rows
+        give_back()
 
     return df.select(F.col(key).cast("long").alias("doc_id"), whole_text(text)).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
@@ -149,7 +152,7 @@ def packed_bins(items: DataFrame, capacity: int, spare: int = 4, least_gain: flo
 
     `items` has `length` (1 to capacity) and any other columns; `members` are all of them, in
     their order in the bin.  A bin with at most `spare` left over is finished.  A task packs at most
-    `bins_per_task` open bins at a time; each round has as many tasks as the open bins ask for, and
+    `bins_per_task` open bins, or PACKED_BYTES of them, at a time; each round has as many tasks as the open bins ask for, and
     the last one is that of a single task or of a gain below `least_gain`.  No items give no bins.
     """
     spark = items.sparkSession
@@ -157,15 +160,19 @@ def packed_bins(items: DataFrame, capacity: int, spare: int = 4, least_gain: flo
     schema = f"filled bigint, members array<struct<{columns.replace('` ', '`:')}>>"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, rows, size = [], 0, 0
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= bins_per_task:
-                yield from merged_bins(pa.Table.from_batches(held), capacity).to_batches(10_000)
-                held, rows = [], 0
+            size += batch.nbytes
+            if rows >= bins_per_task or size >= PACKED_BYTES:
+                yield from merged_bins(pa.Table.from_batches(held), capacity).to_batches(1_000)
+                held, rows, size = [], 0, 0
+                give_back()
         if rows:
-            yield from merged_bins(pa.Table.from_batches(held), capacity).to_batches(10_000)
+            yield from merged_bins(pa.Table.from_batches(held), capacity).to_batches(1_000)
+        held.clear()
+        give_back()
 
     single = items.select(F.col("length").cast("long").alias("filled"), F.array(F.struct(*items.columns)).alias("members"))
     finished = []
