@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardwatch.functions import epoch_micros
-from cardwatch.operators.hotkeys import HOT_ROWS, attach_lookup, attach_per_key, split_hot
+from cardwatch.operators.hotkeys import HOT_ROWS, attach_lookup, attach_per_key, has_key_above, split_hot
+from cardwatch.session import durable
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -69,8 +70,14 @@ def enrich_as_of(
 
     Requests and feature rows are laid on one time line per card and the last
     feature row is carried forward, so no request/feature pairs are formed.
+    Requests without a card get NULLs.
     """
     wanted = list(wanted)
+    kinds = {f.name: f.dataType for f in features.schema.fields}
+    without_card = requests.filter(F.col(key).isNull()).select(
+        *[c for c in requests.columns if c not in wanted], *[F.lit(None).cast(kinds[c]).alias(c) for c in wanted]
+    )
+    requests, features = (df.filter(F.col(key).isNotNull()) for df in (requests, features))
     known = F.struct(F.col(event_time).alias("since"), *wanted)
     kept = [c for c in requests.columns if c not in wanted]
     timeline = features.select(
@@ -98,9 +105,10 @@ def enrich_as_of(
     if hot is not None:
         answered = answered.unionByName(_carried_by_bucket(hot, key, order, bucket_micros).select(*answered.columns))
     alive = F.col("_last.since") >= F.col(f"_request.{request_time}") - F.expr(f"INTERVAL {int(ttl_days)} DAYS")
-    return answered.filter("_kind = 1").select(
+    found = answered.filter("_kind = 1").select(
         "_request.*", *[F.when(alive, F.col(f"_last.{c}")).alias(c) for c in wanted]
     )
+    return found.unionByName(without_card)
 
 
 def _carried_by_bucket(hot: DataFrame, key: str, order: list[str], bucket_micros: int) -> DataFrame:
@@ -125,40 +133,52 @@ def _carried_by_bucket(hot: DataFrame, key: str, order: list[str], bucket_micros
 VELOCITY_WINDOWS = {"count_1h": HOUR, "sum_24h": DAY, "avg_7d": 7 * DAY}
 
 
+# Range frames read a whole frame for each row, so they are for cards of few rows.
+FRAME_ROWS = 10_000
+
+
 def velocity_features(
     df: DataFrame,
     key: str = "cc_num",
     ts: str = "trans_date_trans_time",
     amount: str = "amt",
-    row_id: str = "trans_num",
-    hot_rows: int = HOT_ROWS,
+    frame_rows: int = FRAME_ROWS,
     bucket_micros: int = HOUR,
 ) -> DataFrame:
     """Transactions in the last hour, spend in the last 24 h and mean spend over 7 days.
 
     Each window holds the row itself and everything of the card back to exactly its
-    length.  Cards of ordinary size use range frames; hot cards use running totals
-    per time bucket, looked up at both ends of each window.
+    length.  Range frames serve while no card has more than `frame_rows` rows; else all cards use
+    running totals per time bucket, looked up at both ends of each window.  Every row
+    comes back once, whatever its id; a row without a card or a time gets NULLs.
     """
-    rows = df.select(key, F.col(row_id), epoch_micros(F.col(ts)).alias("_at"), F.col(amount).cast("decimal(20,2)").alias("_amt"))
-    hot, cold = split_hot(rows, key, hot_rows)
+    rows = df.withColumns({"_at": epoch_micros(F.col(ts)), "_amt": F.col(amount).cast("decimal(20,2)")})
+    placed = F.col(key).isNotNull() & F.col("_at").isNotNull()
+    unplaced = rows.filter(~placed).select(
+        *df.columns,
+        F.lit(None).cast("long").alias("count_1h"),
+        F.lit(None).cast("decimal(30,2)").alias("sum_24h"),
+        F.lit(None).cast("double").alias("avg_7d"),
+    )
+    rows = rows.filter(placed)
+    if has_key_above(rows, key, frame_rows):
+        numbered = durable(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        totals = _velocity_by_bucket(numbered.select(key, "_row", "_at", "_amt"), key, "_row", bucket_micros)
+        return numbered.join(totals, "_row").select(*df.columns, *VELOCITY_WINDOWS).unionByName(unplaced)
 
     def sliding(width: int) -> Window:
         return Window.partitionBy(key).orderBy("_at").rangeBetween(-width, 0)
 
     hour, day, week = (sliding(VELOCITY_WINDOWS[n]) for n in VELOCITY_WINDOWS)
-    answered = cold.select(
-        row_id,
+    return rows.select(
+        *df.columns,
         F.count(F.lit(1)).over(hour).alias("count_1h"),
         F.sum("_amt").over(day).alias("sum_24h"),
         (F.sum("_amt").over(week).cast("double") / F.count("_amt").over(week)).alias("avg_7d"),
-    )
-    if hot is not None:
-        answered = answered.unionByName(_velocity_of_hot(hot, key, row_id, bucket_micros))
-    return df.join(answered, row_id)
+    ).unionByName(unplaced)
 
 
-def _velocity_of_hot(rows: DataFrame, key: str, row_id: str, bucket_micros: int) -> DataFrame:
+def _velocity_by_bucket(rows: DataFrame, key: str, row_id: str, bucket_micros: int) -> DataFrame:
     # marks on the card's time line: 0 = start of a window, 1 = the payment, 2 = its end
     marks = F.array(
         *[

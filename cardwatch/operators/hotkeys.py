@@ -36,6 +36,11 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | N
     return None if hot.isEmpty() else F.broadcast(hot)
 
 
+def has_key_above(df: DataFrame, key: str, rows: int) -> bool:
+    """Whether a key has more than so many rows; one count over the key column."""
+    return not df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows")).filter(F.col("key_rows") > rows).isEmpty()
+
+
 def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame | None, DataFrame]:
     """(rows of hot keys or None, all other rows, NULL keys among them); no shuffle."""
     hot = hot_keys(df, key, hot_rows)

@@ -7,7 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardwatch.plans.training import INDEXED_TEXT, Model
+from cardwatch.operators.features import UNBOUNDED_TEXT
+from cardwatch.plans.training import INDEXED_TEXT, Model, model_input
 
 # The attributions stored with a transaction, the grouped names.
 REPORTED = ["amt", "distance_achat", "age", "city_pop", "hour_sin", "hour_cos"]
@@ -21,7 +22,13 @@ class Weight(NamedTuple):
 
 
 def linear_weights(model: Model) -> dict[str, Weight]:
-    """Coefficient, mean and scale per encoded column of a fitted logistic regression."""
+    """Coefficient, mean and scale per encoded column of a fitted logistic regression.
+
+    Hashed text shares its coefficients among values and cannot be attributed: a model with such a column is an error.
+    """
+    hashed = [c for c in model.columns if c in UNBOUNDED_TEXT]
+    if hashed:
+        raise ValueError(f"hashed columns have no attributions: {', '.join(hashed)}")
     stages = model.pipeline.stages
     scaler, linear = stages[-2], stages[-1]
     names = [c for c in model.columns if c not in INDEXED_TEXT]
@@ -29,8 +36,6 @@ def linear_weights(model: Model) -> dict[str, Weight]:
     for column, values in zip([c for c in model.columns if c in INDEXED_TEXT], labels):
         # the index keeps a place for unknown values after the known ones
         names += [f"{column}_{v}" for v in values] + [f"{column}_unknown_value"]
-    count = len(linear.coefficients)
-    names += [f"{names[-1]}_{i}" for i in range(count - len(names))]
     return {
         name: Weight(float(linear.coefficients[i]), float(scaler.mean[i]), float(scaler.std[i]) or 1.0)
         for i, name in enumerate(names)
@@ -38,11 +43,11 @@ def linear_weights(model: Model) -> dict[str, Weight]:
 
 
 def encoded_value(name: str) -> Column:
-    """The model input behind an encoded column name."""
+    """The model input behind an encoded column name; what is missing counts as the model saw it."""
     for column in INDEXED_TEXT:
         if name.startswith(f"{column}_"):
-            return (F.col(column) == name.removeprefix(f"{column}_")).cast("double")
-    return F.col(name).cast("double")
+            return (model_input(column) == name.removeprefix(f"{column}_")).cast("double")
+    return model_input(name)
 
 
 def contribution(name: str, weight: Weight) -> Column:
@@ -57,8 +62,7 @@ def attribute(scored: DataFrame, weights: Mapping[str, Weight]) -> DataFrame:
     """
     pairs: list[Column] = []
     for name in REPORTED:
-        value = contribution(name, weights[name]) if name in weights else F.lit(0.0)
-        pairs += [F.lit(name), F.coalesce(value, F.lit(0.0))]
+        pairs += [F.lit(name), contribution(name, weights[name]) if name in weights else F.lit(0.0)]
     suspicious = (F.col("prediction") == 1) | (F.col("fast_pass_suspicion") == 1)
     return scored.withColumn("shap_values", F.when(suspicious, F.to_json(F.create_map(*pairs))))
 
@@ -68,8 +72,8 @@ def contribution_rows(df: DataFrame, weights: Mapping[str, Weight], key: str = "
     entries = [
         F.struct(
             F.lit(name).alias("feature"),
-            F.coalesce(encoded_value(name), F.lit(0.0)).alias("value"),
-            F.coalesce(contribution(name, weight), F.lit(0.0)).alias("contribution"),
+            encoded_value(name).alias("value"),
+            contribution(name, weight).alias("contribution"),
         )
         for name, weight in weights.items()
     ]

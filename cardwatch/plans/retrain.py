@@ -24,7 +24,11 @@ def mine_rules(contributions: DataFrame) -> DataFrame:
 
 def rules_from(df: DataFrame, quotas: dict[int, int] | None = None) -> DataFrame:
     """Rules from a linear model's attributions of all rows, or of a balanced sample if `quotas` are given."""
-    rows = durable(ft.engineered(df), "rule-input")
+    return rules_from_features(durable(ft.engineered(df), "rule-input"), quotas)
+
+
+def rules_from_features(rows: DataFrame, quotas: dict[int, int] | None = None) -> DataFrame:
+    """As `rules_from`, for stored rows that carry the features."""
     weights = linear_weights(train_lr(rows))
     return mine_rules(contribution_rows(balanced_sample(rows, quotas) if quotas else rows, weights))
 
@@ -45,4 +49,4 @@ def daily_cycle(df: DataFrame, day: str, n_trials: int = 100, **search_options)
     retrained = None
     if needs_retrain(verdict).first()["retrain"]:
         retrained = search(outlier_filter(rows), n_trials, **search_options)
-    return Cycle(verdict, details, retrained, rules_from(df))
+    return Cycle(verdict, details, retrained, rules_from_features(rows))

@@ -91,6 +91,16 @@ class Model:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(df)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Under `path`: the pipeline, and the columns it reads."""
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        spark.createDataFrame([(list(self.columns),)], "columns array<string>").write.mode("overwrite").parquet(f"{path}/columns")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        """The model that `save` wrote, also in another application."""
+        return cls(PipelineModel.load(f"{path}/pipeline"), list(spark.read.parquet(f"{path}/columns").first()["columns"]))
+
 
 def _fit(df: DataFrame, columns: Sequence[str], learner, scaled: bool = False, **weighting) -> Model:
     rows = class_weights(df, **weighting).select(
@@ -248,12 +258,13 @@ def cross_validate(
     sample: Callable[[DataFrame], DataFrame] | None = None,
     with_train: bool = True,
     parallelism: int = 4,
+    with_auc: bool = True,
 ) -> DataFrame:
-    """Precision, recall, F1, F2 and AUC per fold, on held-out and (optionally) training rows.
+    """Precision, recall, F1, F2 and (optionally) AUC per fold, on held-out and (optionally) training rows.
 
-    `sample` thins the training part only.
+    `sample` thins the training part only.  Rows that carry a `fold` from 0 to k - 1 keep it; others are dealt and stored.
     """
-    folds = durable(stratified_folds(df, k), "folds")
+    folds = df if "fold" in df.columns else durable(stratified_folds(df, k), "folds")
 
     def one(fold: int) -> DataFrame:
         train, held = folds.filter(F.col("fold") != fold), folds.filter(F.col("fold") == fold)
@@ -262,9 +273,9 @@ def cross_validate(
         rows = []
         for part, data in parts.items():
             scored = durable(score(data, model).select(LABEL, "prediction", "prediction_proba"), "scored")
-            auc = roc_auc(scored).scalar()
+            auc = [roc_auc(scored).scalar().alias("roc_auc")] if with_auc else []
             figures = classification_metrics(confusion_matrix(scored))
-            rows.append(figures.select(F.lit(fold).alias("fold"), F.lit(part).alias("part"), "*", auc.alias("roc_auc")))
+            rows.append(figures.select(F.lit(fold).alias("fold"), F.lit(part).alias("part"), "*", *auc))
         return union_all(rows)
 
     return union_all(_in_threads(df.sparkSession, one, list(range(k)), parallelism))
@@ -307,12 +318,13 @@ def search(
     rebalanced training part and measured on rows no trial has seen.
     """
     train, test = (durable(part, "split") for part in stratified_split(df, test_share))
+    dealt = durable(stratified_folds(train, folds), "folds")  # the same folds for every trial
     draw = random.Random(seed)
     trials = [{name: pick(draw) for name, pick in space.items()} for _ in range(n_trials)]
     results = []
     for number, params in enumerate(trials):
         figures = cross_validate(
-            train, folds, lambda rows, p=params: train_gbt(rows, columns, **p), lambda rows: rebalance(rows, ratio), False, parallelism
+            dealt, folds, lambda rows, p=params: train_gbt(rows, columns, **p), lambda rows: rebalance(rows, ratio), False, parallelism, False
         )
         # one number per trial comes to the driver
         f2, f1 = figures.agg(F.avg("f2_class_1"), F.avg("f1_class_1")).first()

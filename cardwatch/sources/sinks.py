@@ -18,7 +18,10 @@ def insert_if_absent(
 
     The target is first cut to the keys of the batch.  That semi join needs only the
     key column of the target and, for a batch of ordinary size, no shuffle of it.
+    A row without a key is an error, as in a table with a primary key.
     """
+    keyed = F.coalesce(F.col(key), F.raise_error(F.lit(f"a row to insert has no {key}")).cast(batch.schema[key].dataType))
+    batch = batch.withColumn(key, keyed)
     first = first_by_key(batch, key, *(arrival or [F.col(key)]))
     known = target.select(key).join(batch.select(key).distinct(), key, "left_semi")
     return first.join(known, key, "left_anti")

@@ -215,3 +215,49 @@ def test_unreadable_or_empty_rules_are_no_rules(spark):
     assert parse_rules(documents, "value").count() == 0
     one = spark.createDataFrame([('{"thresholds": {"amt_max": 1.0}}',)], "value string")
     assert parse_rules(documents.union(one), "value").count() == 1
+
+
+def test_velocity_keeps_rows_of_any_id(spark):
+    data = [("a", 1, "2024-01-01 10:00:00", 5.0), ("a", 1, "2024-01-01 10:30:00", 7.0), (None, 1, "2024-01-01 10:45:00", 1.0), ("b", None, "2024-01-01 10:00:00", 2.0), ("c", 1, None, 2.0)]
+    df = spark.createDataFrame(data, "trans_num string, cc_num bigint, t string, amt double")
+    df = df.withColumn("trans_date_trans_time", F.col("t").cast("timestamp_ntz"))
+    for limit in (100, 0):
+        found = [(r["trans_num"], r["count_1h"], r["sum_24h"] and float(r["sum_24h"])) for r in history.velocity_features(df, frame_rows=limit).collect()]
+        assert sorted(found, key=str) == sorted([("a", 1, 5.0), ("a", 2, 12.0), (None, 3, 13.0), ("b", None, None), ("c", None, None)], key=str)
+
+
+def test_lookup_without_a_card(spark):
+    features = spark.createDataFrame([(1, "F", "a"), (None, "M", "b")], "cc_num bigint, gender string, trans_num string")
+    features = features.withColumn("logged_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    requests = spark.createDataFrame([(1, "x"), (None, "y"), (None, None)], "cc_num bigint, id string").withColumn("asked", F.lit("2024-02-01").cast("timestamp_ntz"))
+    found = [(r["id"], r["gender"]) for r in history.enrich_as_of(requests, features, "id", "asked", ("gender",)).collect()]
+    assert sorted(found, key=str) == sorted([("x", "F"), ("y", None), (None, None)], key=str)
+
+
+def test_insert_without_a_key_is_an_error(spark):
+    batch = spark.createDataFrame([("a",), (None,)], "trans_num string")
+    with pytest.raises(Exception, match="has no trans_num"):
+        sinks.insert_if_absent(batch, batch.limit(0)).collect()
+
+
+def test_a_stored_model_scores_alike(fact, tmp_path):
+    rows = ft.engineered(fact)
+    model = training.train_lr(rows, iterations=5)
+    model.save(rows.sparkSession, str(tmp_path / "model"))
+    loaded = training.Model.load(rows.sparkSession, str(tmp_path / "model"))
+    assert loaded.columns == model.columns
+    both = [training.score(rows, m).select("trans_num", "prediction", "prediction_proba") for m in (model, loaded)]
+    assert both[0].exceptAll(both[1]).isEmpty() and both[1].count() == rows.count()
+
+
+def test_missing_values_are_attributed_as_the_model_saw_them(fact):
+    rows = ft.engineered(fact).withColumn("amt", F.when(F.col("event_id") % 7 != 0, F.col("amt")))
+    weights = {"amt": explain.Weight(0.8, 70.0, 50.0)}
+    missing = explain.contribution_rows(rows.filter("amt IS NULL"), weights).select("value", "contribution").distinct().collect()
+    assert [(r["value"], round(r["contribution"], 9)) for r in missing] == [(0.0, -1.12)]
+
+
+def test_hashed_text_is_not_attributed(fact):
+    model = training.train_lr(ft.engineered(fact), ["merchant", "amt", "category"], iterations=2)
+    with pytest.raises(ValueError, match="merchant"):
+        explain.linear_weights(model)

@@ -18,8 +18,8 @@ def skewed(fact):
 def test_velocity_of_hot_cards(fact):
     rows = skewed(fact).select("trans_num", "cc_num", "trans_date_trans_time", "amt")
     plain = history.velocity_features(rows)
-    hot = history.velocity_features(rows, hot_rows=100)
-    again = history.velocity_features(rows, hot_rows=0, bucket_micros=history.DAY)
+    hot = history.velocity_features(rows, frame_rows=100)
+    again = history.velocity_features(rows, frame_rows=0, bucket_micros=history.DAY)
     show = ["trans_num", "count_1h", "sum_24h", F.round("avg_7d", 9).alias("avg_7d")]
     assert rows_of(plain.select(*show)) == rows_of(hot.select(*show)) == rows_of(again.select(*show))
 
@@ -30,7 +30,7 @@ def test_velocity_counts_both_window_ends(spark):
         "trans_date_trans_time", F.col("t").cast("timestamp_ntz")
     )
     for limit in (1_000_000, 0):
-        found = {r["trans_num"]: r["count_1h"] for r in history.velocity_features(df, hot_rows=limit).collect()}
+        found = {r["trans_num"]: r["count_1h"] for r in history.velocity_features(df, frame_rows=limit).collect()}
         assert found == {"a": 1, "b": 3, "c": 3, "d": 3}
 
 
