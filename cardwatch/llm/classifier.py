@@ -76,7 +76,9 @@ class SubwordClassifier:
 
 def fit_classifier(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS, text: str = "text", key: str = "doc_id") -> SubwordClassifier:
     """Fits on at most `rows` labelled documents, chosen by the hash of their id; labels are 0 and 1."""
-    return SubwordClassifier.fit(*labelled_sample(documents, labels, label, rows, BITS, text, key))
+    model = SubwordClassifier.fit(*labelled_sample(documents, labels, label, rows, BITS, text, key))
+    give_back()  # the sample
+    return model
 
 
 def with_scores(df: DataFrame, model: SubwordClassifier, text: str = "text", score: str = "score") -> DataFrame:

@@ -147,6 +147,15 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     narrow = documents.select(F.col(key).alias("_id"), whole_text(text).alias("_text"))
     # at most `rows` ids are broadcast
     found = narrow.join(F.broadcast(chosen), "_id").select("_id", "_label", features(F.col("_text")).alias("f")).select("_id", "_label", "f.*")
-    table = found.toArrow().sort_by([("_id", "ascending"), ("_label", "ascending")])
-    pairs = [(np.array(f, np.int64), np.array(s, np.float32)) for f, s in zip(table["features"].to_numpy(), table["shares"].to_numpy())]
-    return pairs, table["_label"].to_numpy().astype(np.int64)
+    table = found.toArrow()
+    pairs = list(zip(_slices(table["features"]), _slices(table["shares"])))
+    ids, kinds = table["_id"].to_numpy(), table["_label"].to_numpy().astype(np.int64)
+    order = np.lexsort((kinds, ids))
+    return [pairs[i] for i in order], kinds[order]
+
+
+def _slices(lists: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """The lists as views of the stored values: the driver holds the sample once."""
+    for chunk in lists.chunks:
+        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        yield from map(values.__getitem__, map(slice, ends[:-1], ends[1:]))

@@ -84,7 +84,9 @@ def _calibrated(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def fit_rules(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS, text: str = "text", key: str = "doc_id") -> CalibratedRegression:
     """Fits on at most `rows` labelled documents, chosen by the hash of their id; labels are 0 and 1."""
-    return CalibratedRegression.fit(*labelled_sample(documents, labels, label, rows, BITS, text, key))
+    model = CalibratedRegression.fit(*labelled_sample(documents, labels, label, rows, BITS, text, key))
+    give_back()  # the sample
+    return model
 
 
 def text_counts(text: str) -> tuple[int, int, int, int, int]:
