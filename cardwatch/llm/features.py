@@ -45,7 +45,7 @@ def hashed_ngrams(data: np.ndarray, owner_ends: np.ndarray, bits: int) -> tuple[
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(owner_ends)), np.diff(owner_ends, prepend=0))
-    owners, features = [], []
+    owners, features = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # a chunk may have no n-gram at all
     wide = data.astype(np.uint64)
     for size in CHAR_NGRAMS:
         if n < size:

@@ -69,3 +69,30 @@ def test_long_text_scores_as_a_whole(n):
     alone = mean_scores([text, "short one", text], weights)
     assert alone[0] == alone[2] and np.allclose(alone[1], mean_scores(["short one"], weights)[0])
     assert abs(alone[0] - mean_scores(["lorem ipsum dolor sit amet " * 2_000], weights)[0]) < 1e-3
+
+
+@pytest.mark.parametrize("operator", ["classifier", "rules"])
+def test_labelled_empty_documents(spark, edge_docs, operator):
+    """A null, an empty and a blank text among the labelled ones do not fail the fit."""
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0), (5, 1), (6, 0)], "doc_id long, quality int")
+    if operator == "classifier":
+        rows = classifier.with_scores(edge_docs, classifier.fit_classifier(edge_docs, labels)).collect()
+        assert all(0 <= r.score <= 1 for r in rows)
+    else:
+        rows = rules.with_rule_columns(edge_docs, rules.fit_rules(edge_docs, labels)).collect()
+        assert all(0 <= r.probability <= 1 for r in rows)
+    assert len(rows) == edge_docs.count()
+
+
+@pytest.mark.parametrize("texts", [[""], ["", ""], [None], ["a b c"] * 500 + [""]])
+def test_batch_of_empty_texts(spark, texts):
+    """Chunks of one or two bytes without a word have no n-grams: the score is that of the bias."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    weights, bias = np.ones((1 << classifier.BITS, 1)), np.array([0.0, 1.0])
+    model = classifier.SubwordClassifier(weights, np.array([[0.0, 1.0]]), bias)
+    scores = {r.doc_id: r.score for r in classifier.with_scores(docs, model).collect()}
+    assert len(scores) == len(texts)
+    for i, text in enumerate(texts):
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-(2.0 if text else 1.0))))
+    judged = rules.with_rule_columns(docs, rules.CalibratedRegression(np.zeros(1 << rules.BITS), 1.0, 1.0, 0.0)).collect()
+    assert len(judged) == len(texts) and all(r.probability == pytest.approx(1 / (1 + np.exp(-1.0))) for r in judged)
