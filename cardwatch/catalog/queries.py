@@ -811,16 +811,6 @@ def _(spark, sf_dir):
 
 # ---- training and explanation --------------------------------------------------------------
 
-# Small models: these queries show the whole path, not the best model.
-SMALL = {"trees": 5, "depth": 3}
-SMALL_SPACE = {
-    "trees": lambda r: r.randint(2, 3),
-    "depth": lambda r: r.randint(2, 3),
-    "rate": training.SEARCH_SPACE["rate"],
-    "positive_weight": training.SEARCH_SPACE["positive_weight"],
-}
-
-
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return durable(ft.engineered(fixture.raw_transactions(spark, sf_dir)), "training")
 
@@ -828,13 +818,13 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("boosted_trees", "M1 M3 M12")
 def _(spark, sf_dir):
     train, test = sampling.stratified_split(training_rows(spark, sf_dir), 0.3)
-    return training.evaluate(test, training.train_gbt(train, **SMALL), "boosted_trees")
+    return training.evaluate(test, training.train_gbt(train), "boosted_trees")
 
 
 @query("balanced_boosted_trees", "M4")
 def _(spark, sf_dir):
     train, test = sampling.stratified_split(training_rows(spark, sf_dir), 0.3)
-    return training.evaluate(test, training.train_gbt(train, balanced=True, **SMALL), "balanced_boosted_trees")
+    return training.evaluate(test, training.train_gbt(train, balanced=True), "balanced_boosted_trees")
 
 
 @query("logistic_regression", "M2 M5")
@@ -846,7 +836,7 @@ def _(spark, sf_dir):
 @query("random_forest", "M6")
 def _(spark, sf_dir):
     train, test = sampling.stratified_split(training_rows(spark, sf_dir), 0.2)
-    return training.evaluate(test, training.train_rf(train, trees=10, depth=4), "random_forest")
+    return training.evaluate(test, training.train_rf(train), "random_forest")
 
 
 @query("graph_linear", "M7")
@@ -860,33 +850,32 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     graph, _ = training.with_neighbourhood(training_rows(spark, sf_dir))
     train, test = sampling.stratified_split(durable(graph, "graph"), 0.3)
-    return training.evaluate(test, training.train_graph_gbt(train, **SMALL), "graph_boosted_trees")
+    return training.evaluate(test, training.train_graph_gbt(train), "graph_boosted_trees")
 
 
 @query("cross_validation", "M15")
 def _(spark, sf_dir):
-    return training.cross_validate(training_rows(spark, sf_dir), 5, lambda rows: training.train_gbt(rows, trees=2, depth=3))
+    return training.cross_validate(training_rows(spark, sf_dir))
 
 
 @query("hyper_parameter_search", "M9")
 def _(spark, sf_dir):
-    found = training.search(training_rows(spark, sf_dir), 2, SMALL_SPACE, folds=2)
-    return found.trials.drop("params")
+    return training.search(training_rows(spark, sf_dir)).trials.drop("params")
 
 
 @query("feature_set_sweep", "M10 P10")
 def _(spark, sf_dir):
-    return training.sweep(fixture.raw_transactions(spark, sf_dir), trees=2, depth=3, parallelism=8)
+    return training.sweep(fixture.raw_transactions(spark, sf_dir), parallelism=8)
 
 
 @query("sampling_sweep", "M11")
 def _(spark, sf_dir):
-    return training.sampling_sweep(fixture.raw_transactions(spark, sf_dir), (0.1, 0.2), trees=2, depth=3, parallelism=8)
+    return training.sampling_sweep(fixture.raw_transactions(spark, sf_dir), parallelism=8)
 
 
 @query("initial_model", "M13 P14")
 def _(spark, sf_dir):
-    return training.train_initial(fixture.raw_transactions(spark, sf_dir), 20, **SMALL)[1]
+    return training.train_initial(fixture.raw_transactions(spark, sf_dir))[1]
 
 
 # An example linear model for the attribution queries.
@@ -936,7 +925,7 @@ def _(spark, sf_dir):
 
 @query("daily_cycle", "D4 D6 M9 R6")
 def _(spark, sf_dir):
-    cycle = retrain.daily_cycle(fixture.raw_transactions(spark, sf_dir), DRIFT_DAY, 1, space=SMALL_SPACE, folds=2)
+    cycle = retrain.daily_cycle(fixture.raw_transactions(spark, sf_dir), DRIFT_DAY)
     document = cycle.rules.select(F.to_json(F.struct("*")).alias("rules"))
     return cycle.verdict.select("current_date", "drift_detected", document.scalar().alias("rules"))
 
