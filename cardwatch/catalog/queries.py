@@ -171,8 +171,7 @@ def _(spark, sf_dir):
 @query("file_ledger", "K2 F14")
 def _(spark, sf_dir):
     rows = fact(spark, sf_dir)
-    start = F.lit("2024-01-01").cast("timestamp_ntz")
-    return sinks.file_ledger(queue.slice_bins(rows, start, 30 * history.DAY, 30)).select("file_name", "n_rows")
+    return sinks.file_ledger(queue.slice_bins(rows, *queue.whole_days(rows), 30)).select("file_name", "n_rows")
 
 
 @query("schema_evolution", "K7")
@@ -946,8 +945,7 @@ def drained(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     base = scratch_path(spark, "queue")
     where = {name: f"{base}/{name}" for name in ("files", "fact", "outbox", "ledger", "checkpoint")}
     raw = fixture.raw_transactions(spark, sf_dir)
-    start = F.lit("2024-01-01").cast("timestamp_ntz")
-    queue.write_queue(queue.slice_bins(raw, start, 30 * history.DAY, 4), where["files"])
+    queue.write_queue(queue.slice_bins(raw, *queue.whole_days(raw), 4), where["files"])
 
     def scorer(rows: DataFrame) -> DataFrame:
         return rows.withColumns(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +14,7 @@ from cardwatch import functions as fn
 from cardwatch.operators import features as ft
 from cardwatch.operators.alerts import alert_payloads
 from cardwatch.operators.filters import TS
+from cardwatch.operators.history import DAY
 from cardwatch.operators.rules import fast_pass
 from cardwatch.plans.explain import Weight, attribute
 from cardwatch.plans.warehouse import stg_transactions
@@ -35,6 +37,16 @@ def slice_bins(df: DataFrame, start: Column, span_micros: int, bins: int = 30, t
     )
 
 
+def whole_days(df: DataFrame, ts: str = TS) -> tuple[Column, int]:
+    """(start, microseconds) of the whole days from the first to the last row, as `slice_bins` takes them.
+
+    One row reaches the driver.  Without any time it is one day, so that an empty table has no rows to cut.
+    """
+    first, last = df.agg(F.to_date(F.min(ts)), F.to_date(F.max(ts))).first()
+    first, last = first or date(1970, 1, 1), last or date(1970, 1, 1)
+    return F.lit(first).cast("timestamp_ntz"), ((last - first).days + 1) * DAY
+
+
 def start_of_slices(source: DataFrame, target: DataFrame, ts: str = TS) -> Column:
     """Resume at the newest row of the target, else 30 days into the source."""
     resume = target.agg(F.max(ts).alias("t")).scalar()
