@@ -19,8 +19,8 @@ from cardwatch.operators.rules import fast_pass
 from cardwatch.plans.explain import Weight, attribute
 from cardwatch.plans.warehouse import stg_transactions
 from cardwatch.schema import RAW_FIELDS, RAW_TEXT
-from cardwatch.sources.files import TIMESTAMP_TEXT, typed
-from cardwatch.sources.sinks import append_if_absent, file_ledger
+from cardwatch.sources.files import TIMESTAMP_TEXT, path_exists, typed
+from cardwatch.sources.sinks import append_if_absent, file_ledger, insert_if_absent
 
 
 def slice_bins(df: DataFrame, start: Column, span_micros: int, bins: int = 30, ts: str = TS) -> DataFrame:
@@ -81,6 +81,10 @@ def queue_stream(
     return reader.csv(folder).withColumn("file_name", F.coalesce(F.nullif(slice_name, F.lit("")), F.col("_metadata.file_name")))
 
 
+DAILY_SUMS = {"total_transactions": "bigint", "total_volume": "decimal(20,2)", "fraud_transactions_count": "bigint"}
+DAILY_SHARE = "transaction_date date, merchant_name string, " + ", ".join(f"{name} {kind}" for name, kind in DAILY_SUMS.items())
+ALERT = "trans_num string, alert_ts timestamp_ntz, payload string"
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -145,31 +149,63 @@ def run_queue(
     )
 
 
-def with_event_time(scored_stream: DataFrame, lateness: str) -> DataFrame:
-    """Watermarked copy.  Event time must be an instant, so wall-clock times are taken as UTC."""
-    return scored_stream.withColumn(TS, fn.as_instant(F.col(TS))).withWatermark(TS, lateness)
-
-
-def live_daily_metrics(scored_stream: DataFrame, lateness: str = "24 hours") -> DataFrame:
-    """The merchant-day mart as a stream; rows later than `lateness` are no longer added.
-
-    State holds one row per merchant and open day.  (The batch mart has no such limit.)
-    """
-    staged = stg_transactions(with_event_time(scored_stream, lateness))
-    day = F.window("transaction_timestamp", "1 day")
+def merchant_days(scored: DataFrame) -> DataFrame:
+    """Counts and volume per merchant and day; those of several parts add up."""
     return (
-        staged.groupBy(day.alias("day"), "merchant_name")
+        stg_transactions(scored)
+        .groupBy(fn.txn_day(F.col("transaction_timestamp")).alias("transaction_date"), "merchant_name")
         .agg(
             F.count("transaction_id").alias("total_transactions"),
             F.sum("transaction_amount").alias("total_volume"),
             F.count(F.when(F.col("is_predicted_fraud") == 1, 1)).alias("fraud_transactions_count"),
         )
-        .select(F.to_date(fn.wall_clock(F.col("day.start"))).alias("transaction_date"), "*")
-        .drop("day")
     )
 
 
-def live_alerts(scored_stream: DataFrame, lateness: str = "24 hours") -> DataFrame:
-    """Alert payloads as they happen, each transaction once within `lateness`."""
-    once = with_event_time(scored_stream, lateness).dropDuplicatesWithinWatermark(["trans_num"])
-    return alert_payloads(once.withColumn(TS, fn.wall_clock(F.col(TS))))
+def live_daily_metrics(scored_stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The merchant-day mart as a stream: each micro-batch leaves its share in a folder that a retry overwrites.
+
+    No row is too late and no day has to close: `read_daily_metrics` adds up the shares.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        merchant_days(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _into_batches(scored_stream, handle, checkpoint)
+
+
+def read_daily_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The mart as of the batches that are done; equals that of all their rows together."""
+    shares = _written(spark, path, DAILY_SHARE)
+    sums = [F.sum(name).cast(kind).alias(name) for name, kind in DAILY_SUMS.items()]
+    return shares.groupBy("transaction_date", "merchant_name").agg(*sums)
+
+
+def live_alerts(scored_stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Alert payloads as they happen, each transaction once, however late: a batch is compared with the stored keys.
+
+    A retried batch replaces its own folder and compares itself only with the others.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        others = read_alerts(batch.sparkSession, path).filter(F.col("batch_id") != batch_id)
+        payloads = alert_payloads(batch).persist()
+        new = insert_if_absent(payloads, others, arrival=[F.col("alert_ts"), F.col("payload")])
+        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        payloads.unpersist()
+
+    return _into_batches(scored_stream, handle, checkpoint)
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts written by `live_alerts`; empty when nothing was written yet."""
+    return _written(spark, path, ALERT)
+
+
+def _into_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    schema = f"{schema}, batch_id bigint"
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardwatch.catalog import QUERIES, queries
+from cardwatch.plans import warehouse
 from cardwatch.sources import fixture
 from cardwatch.streaming import queue
 
@@ -35,3 +36,36 @@ def test_whole_days(spark, times):
     rows = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp_ntz").alias(TS))
     cut = queue.slice_bins(rows, *queue.whole_days(rows), 3)
     assert cut.count() == len(times) and {r.bin_number for r in cut.collect()} <= {1, 2, 3}
+
+
+@pytest.fixture
+def late_stream(spark, fact, tmp_path):
+    """The fact in two micro-batches, the older half after the newer one."""
+    middle = F.lit("2024-01-15").cast("timestamp_ntz")
+    parts = [fact.filter(F.col(TS) >= middle), fact.filter(F.col(TS) < middle)]
+    folder = str(tmp_path / "arriving")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(fact.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+
+
+def test_live_mart_equals_batch_mart(spark, fact, late_stream, tmp_path):
+    queue.live_daily_metrics(late_stream, f"{tmp_path}/rows", f"{tmp_path}/checkpoint").awaitTermination()
+    live = queue.read_daily_metrics(spark, f"{tmp_path}/rows")
+    batch = warehouse.mart_merchant_daily_metrics(warehouse.stg_transactions(fact)).select("transaction_date", "merchant_name", "total_transactions", "total_volume")
+    part = live.select(batch.columns)
+    assert part.count() == batch.count()
+    assert part.exceptAll(batch).count() == 0 and batch.exceptAll(part).count() == 0
+    assert live.agg(F.sum("fraud_transactions_count")).first()[0] == fact.filter("prediction = 1").count()
+
+
+def test_late_alerts_come_once(spark, fact, late_stream, tmp_path):
+    for run in (1, 2):  # a new checkpoint runs the same batches again
+        queue.live_alerts(late_stream, f"{tmp_path}/rows", f"{tmp_path}/checkpoint-{run}").awaitTermination()
+    alerts, wanted = queue.read_alerts(spark, f"{tmp_path}/rows"), fact.filter("prediction = 1")
+    assert alerts.count() == wanted.count() == alerts.select("trans_num").distinct().count() > 0
+
+
+def test_live_query_has_every_day(spark, sf_dir):
+    live = QUERIES["live_daily_metrics"](spark, sf_dir)
+    assert live.agg(F.sum("total_transactions")).first()[0] == fixture.transactions(spark, sf_dir).count()
