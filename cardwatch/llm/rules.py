@@ -32,15 +32,18 @@ class CalibratedRegression:
 
     @classmethod
     def fit(cls, documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 11) -> "CalibratedRegression":
-        """Every fifth row calibrates.  With one class only, or none, everything gets that class, or class 1."""
+        """Every fifth row calibrates; with fewer than five rows of a class all rows train and the margins stay as they are.
+
+        With one class only, or none, everything gets that class, or class 1.
+        """
         weights = np.zeros(1 << BITS)
         counts = np.bincount(labels, minlength=2)
-        if counts.min() < 5:
+        if counts.min() == 0:
             return cls(weights, 30.0 if counts[1] >= counts[0] else -30.0, 1.0, 0.0)
         random = np.random.default_rng(seed)
         shuffled = random.permutation(len(labels))
         shuffled = shuffled[np.argsort(labels[shuffled], kind="stable")]  # so that both parts have both classes
-        is_calibration = np.arange(len(labels)) % 5 == 0
+        is_calibration = (np.arange(len(labels)) % 5 == 0) & (counts.min() >= 5)
         train, calibration = shuffled[~is_calibration], shuffled[is_calibration]
         balance = len(train) / (2.0 * np.bincount(labels[train], minlength=2))
         per_epoch = -(-len(train) // BATCH)
@@ -59,6 +62,8 @@ class CalibratedRegression:
                 wrong = (_sigmoid(margins) - labels[chosen]) * balance[labels[chosen]] / len(chosen)
                 np.add.at(weights, features, -rate * shares * wrong[owner])
                 bias -= 0.01 * rate * wrong.sum()
+        if not len(calibration):
+            return cls(weights, bias, 1.0, 0.0)
         margins = np.array([weights[documents[i][0]] @ documents[i][1] for i in calibration]) + bias
         return cls(weights, bias, *_calibrated(margins, labels[calibration]))
 

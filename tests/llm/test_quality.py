@@ -96,3 +96,22 @@ def test_batch_of_empty_texts(spark, texts):
         assert scores[i] == pytest.approx(1 / (1 + np.exp(-(2.0 if text else 1.0))))
     judged = rules.with_rule_columns(docs, rules.CalibratedRegression(np.zeros(1 << rules.BITS), 1.0, 1.0, 0.0)).collect()
     assert len(judged) == len(texts) and all(r.probability == pytest.approx(1 / (1 + np.exp(-1.0))) for r in judged)
+
+
+@pytest.mark.parametrize("few", [1, 4])
+@pytest.mark.parametrize("rare", [0, 1])
+def test_rules_fit_a_rare_class(few, rare):
+    """A class of fewer than five rows is still learned."""
+    from cardwatch.llm.features import ngram_shares
+
+    random = np.random.default_rng(3)
+
+    def text(label):
+        words = ["harvest", "river", "window", "garden"] if label else ["jackpot", "casino", "bonus", "payout"]
+        return " ".join(random.choice(words, 80))
+
+    labels = np.array([rare] * few + [1 - rare] * (200 - few))
+    model = rules.CalibratedRegression.fit([ngram_shares(text(label), rules.BITS) for label in labels], labels)
+    margins = np.array([weights @ shares for label in (0, 1) for features, shares in [ngram_shares(text(label), rules.BITS)] for weights in [model.weights[features]]]) + model.bias
+    odds = rules._sigmoid(model.slope * margins + model.shift)
+    assert odds[0] < rules.LEAST_PROBABILITY <= odds[1]
