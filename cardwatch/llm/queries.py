@@ -1,11 +1,11 @@
-"""The ten operators over the whole given tables, with their production parameters."""
+"""The thirteen operators over the whole given tables, with their production parameters."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cardwatch.llm import bpe, chat, classifier, counts, dedup, jaccard, lines, pack, rules, shards
+from cardwatch.llm import bpe, chat, classifier, counts, dedup, divergence, jaccard, lines, pack, rules, shards
 from cardwatch.llm.common import table, whole_text
 
 SEQUENCE = 1024
@@ -93,14 +93,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CONTROL = r"([<\[])(/?s>|/?(?:INST|SYS|OUT|ROLE)\]|(?:IMG|AUD|DOC):)"
 
 LLM_QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_packing, op3_line_dedup, op4_quality_rules, op5_token_counts, op6_sharding, op7_chat_formatting, op8_exact_dedup, op9_quality_classifier, op10_jaccard_join)
-}
+    for f in (
+        op1_bpe, op2_packing, op3_line_dedup, op4_quality_rules, op5_token_counts, op6_sharding, op7_chat_formatting, op8_exact_dedup, op9_quality_classifier,
+        op10_jaccard_join, op11_source_divergence,
+    )
+}
 
 LLM_ORACLE = {
     "op3_line_dedup": rf"""
@@ -138,4 +145,24 @@ LLM_ORACLE = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
         least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
         SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least USING (doc_id)""",
+    "op11_source_divergence": rf"""
+        WITH bare AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{divergence.TERM}') AS terms FROM documents),
+        each AS (SELECT row, lang, source, unnest(terms) AS term FROM bare),
+        vocabulary AS (SELECT lang, term, count(*) AS c FROM each GROUP BY lang, term HAVING count(DISTINCT row) >= {divergence.LEAST_DOCUMENTS}),
+        sizes AS (SELECT lang, count(*) AS v, sum(c) AS n FROM vocabulary GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM bare),
+        used AS (SELECT lang, source, term, count(*) AS c FROM each SEMI JOIN vocabulary USING (lang, term) GROUP BY ALL),
+        totals AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN used USING (lang, source) GROUP BY ALL),
+        shares AS (SELECT g.lang, g.source, w.term, coalesce(u.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(u.c, 0) + 2) // (g.n + 2 * s.v) AS p,
+                   1 + 1000000000::HUGEINT * (w.c + 2) // (s.n + 2 * s.v) AS q
+                   FROM totals g JOIN sizes s USING (lang) JOIN vocabulary w USING (lang) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = w.term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+                  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        results AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+        FROM results QUALIFY part = 'pair' OR rank <= {divergence.TOP}""",
 }
