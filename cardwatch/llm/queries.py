@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cardwatch.llm import bpe, chat, classifier, counts, dedup, divergence, jaccard, lines, pack, rules, shards
+from cardwatch.llm import bpe, chat, classifier, counts, dedup, divergence, jaccard, lines, pack, rules, shards, tries
 from cardwatch.llm.common import table, whole_text
 
 SEQUENCE = 1024
@@ -97,6 +97,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tries.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CONTROL = r"([<\[])(/?s>|/?(?:INST|SYS|OUT|ROLE)\]|(?:IMG|AUD|DOC):)"
@@ -105,7 +110,7 @@ LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_packing, op3_line_dedup, op4_quality_rules, op5_token_counts, op6_sharding, op7_chat_formatting, op8_exact_dedup, op9_quality_classifier,
-        op10_jaccard_join, op11_source_divergence,
+        op10_jaccard_join, op11_source_divergence, op13_prefix_trie,
     )
 }
 
@@ -165,4 +170,25 @@ LLM_ORACLE = {
             UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE c > 0 AND p > q)
         SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
         FROM results QUALIFY part = 'pair' OR rank <= {divergence.TOP}""",
+    "op13_prefix_trie": """
+        WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+                       FROM conversations WHERE conv_id IS NOT NULL),
+        sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+        crcs AS (SELECT conv_id, n, conv_id - conv_id % 100 AS base, xor(4294967295::BIGINT, list_reduce(
+                     list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+                     lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))) % 6 AS h FROM sizes),
+        plans AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS k FROM crcs c LEFT JOIN sizes b ON b.conv_id = c.base),
+        rebuilt AS (SELECT p.conv_id, t.pos AS d, t.role, t.text FROM plans p JOIN turns t ON t.conv_id = p.base AND t.pos <= p.h
+                    UNION ALL SELECT conv_id, p.k + t.pos - p.h, t.role, t.text FROM plans p JOIN turns t USING (conv_id) WHERE t.pos > p.h),
+        whole AS (SELECT p.conv_id, coalesce(list({'role': r.role, 'text': r.text} ORDER BY r.d) FILTER (WHERE r.d IS NOT NULL), []) AS said FROM plans p LEFT JOIN rebuilt r USING (conv_id) GROUP BY p.conv_id),
+        prefixes AS (SELECT conv_id, len(said) AS n, unnest(range(len(said) + 1)) AS depth, said FROM whole),
+        nodes AS (SELECT depth, said[1:depth] AS said, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+                  FROM prefixes GROUP BY depth, said[1:depth]),
+        children AS (SELECT depth - 1 AS depth, said[1:depth - 1] AS said, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        own AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * length(n.said[n.depth].text) ELSE 0 END AS saved
+                FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.said = n.said),
+        above AS (SELECT unnest(range(depth + 1)) AS up, said, saved, n_children FROM own),
+        below AS (SELECT up AS depth, said[1:up] AS said, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY up, said[1:up])
+        SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, o.ends_sha256
+        FROM own o JOIN below b ON b.depth = o.depth AND b.said = o.said LEFT JOIN own p ON p.depth = o.depth - 1 AND p.said = o.said[1:o.depth - 1]""",
 }
