@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cardwatch.llm import bpe, chat, classifier, counts, dedup, divergence, jaccard, lines, pack, rules, shards, tries
+from cardwatch.llm import bpe, chat, classifier, counts, dedup, divergence, jaccard, lines, pack, rules, secrets, shards, tries
 from cardwatch.llm.common import table, whole_text
 
 SEQUENCE = 1024
@@ -97,6 +97,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = secrets.with_secrets(docs, secrets.fit_formats(docs))
+    return scanned.select(
+        "doc_id",
+        *[secrets.spans_of(kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(F.encode(secrets.spans_text(F.filter("spans", secrets.is_base)), "utf-8"), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = tries.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
@@ -110,7 +121,7 @@ LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_packing, op3_line_dedup, op4_quality_rules, op5_token_counts, op6_sharding, op7_chat_formatting, op8_exact_dedup, op9_quality_classifier,
-        op10_jaccard_join, op11_source_divergence, op13_prefix_trie,
+        op10_jaccard_join, op11_source_divergence, op12_secret_scan, op13_prefix_trie,
     )
 }
 
