@@ -29,8 +29,9 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = 16
 # per kind, the distinct values a model learns from (those of the smallest hashes), and the longest of them
 SAMPLE, LONGEST = 400, 128
-# confidence of the merge test; log odds from which a candidate counts as found
-ALPHA, LEAST_SCORE = 0.05, 12.0
+# confidence of the merge test; log odds from which a candidate counts as found: e times likelier as a credential
+# (ordinary strings are learned from all runs that no base pattern marks, unmarked credentials among them)
+ALPHA, LEAST_SCORE = 0.05, 1.0
 # character sets of a segment between separators, the narrowest that holds it counts; and the separators
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SETS = tuple(map(frozenset, (_DIGITS, _DIGITS + _LOWER[:6], _DIGITS + _UPPER[:6], _LOWER, _UPPER, _DIGITS + _LOWER, _DIGITS + _UPPER, _LOWER + _UPPER, _DIGITS + _LOWER + _UPPER)))
