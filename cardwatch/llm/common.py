@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -43,8 +44,8 @@ def give_back() -> None:
 class BatchCache(dict):
     """Results by key, computed for many missing keys at once.
 
-    Holds at most `limit` short keys besides those of the current batch: past that the
-    older ones go.
+    Holds about `limit` short keys besides those of the current batch: past that the
+    older half goes.
     """
 
     def __init__(self, compute_many, limit: int = 300_000, longest: int = 48) -> None:
@@ -57,9 +58,10 @@ class BatchCache(dict):
             self.pop(key, None)
         missing = [key for key in keys if key not in self]
         if len(self) + len(missing) > self.limit:
-            kept = {key: self[key] for key in keys if key in self}
-            self.clear()
-            self.update(kept)
+            # the older half goes, but for what is wanted now
+            for key in list(islice(self, len(self) // 2)):
+                if key not in keys:
+                    del self[key]
         self.update(zip(missing, self.compute_many(missing)))
         self.long_keys = [key for key in missing if len(key) > self.longest]
 
@@ -79,6 +81,8 @@ def text_chunks(texts: list[str], most_chars: int = 1 << 20):
 
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _PAIRS = [blank + " " for blank in _BLANKS]
+# texts with a space that starts no unit
+SPACE_BEHIND_BLANK = f"^ |[{_BLANKS}] "
 _cut = re.compile(r"(?<=\S) ")
 
 

@@ -121,3 +121,17 @@ def test_edges(edge_docs, no_docs, library):
         pieces = pack.token_pieces(docs, JSON, 2, 1024)
         assert pieces.filter("piece = 0").count() == n
         placed_right(pack.pack_sequences(pieces.drop("ids"), 1024).collect(), 1024)
+
+
+def test_batches_keep_their_order(coder, library, monkeypatch):
+    texts = ["", "one two", " led by a space", "a  b", "x" * 3_000, "tab \t and\n line", "é. ù, 日本 語", "", "end "] * 7
+    for size in (1 << 20, 64, 1):
+        monkeypatch.setattr(bpe, "CHUNK_BYTES", size)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert coder.encode([]) == []
+
+
+def test_unknown_ids_are_refused(coder):
+    with pytest.raises(ValueError, match="vocabulary"):
+        coder.decode(np.array([1, 10**6], "<u4").tobytes())
+    assert coder.decode_array(bpe.pa.array([None, b"", np.array([5], "<u4").tobytes()], bpe.pa.binary())).null_count == 1
