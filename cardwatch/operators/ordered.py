@@ -1,47 +1,20 @@
 """Running totals, exact percentiles and rank sums over a globally ordered column.
 
 `SUM() OVER (ORDER BY x)` with no partition key sends every row to one task.
-Here rows are first counted per distinct value, the values are cut into ranges of
+Here rows are first counted per distinct value; the values are then laid out in ranges of
 bounded size, each range is summed on its own, and the totals of the ranges before
-it are added.  The answer is the exact window result.
+it are carried in (`operators/ranges.py`).  The answer is the exact window result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cardwatch.operators.ranges import RANGE_ROWS, in_ranges, with_running
 from cardwatch.session import durable
 
-RANGE_ROWS = 1_000_000
-MAX_RANGES = 1_024
-
-
-def _range_index(hist: DataFrame, value: str, group: Sequence[str], range_rows: int) -> Column | None:
-    """Number of the value range a row falls in, cut at measured quantiles; None when
-    no group has more than `range_rows` values.
-
-    The cuts are a handful of numbers per group; they enter the plan as literals,
-    so a recomputed task puts every row in the same range again.
-    """
-    sizes = hist.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    ranges = min(MAX_RANGES, math.ceil(largest / range_rows))
-    if ranges <= 1:
-        return None
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = hist.groupBy(*group).agg(F.percentile_approx(value, shares, 10_000).alias("cuts")).collect()
-    index = F.lit(0)
-    for row in cuts:
-        edges = F.array(*[F.lit(edge) for edge in sorted(set(row["cuts"]))])
-        position = F.size(F.filter(edges, lambda edge: edge < F.col(value)))
-        same_group = F.lit(True)
-        for name in group:
-            same_group = same_group & F.col(name).eqNullSafe(F.lit(row[name]))
-        index = F.when(same_group, position).otherwise(index)
-    return index
 
 
 def running_totals(
@@ -59,10 +32,9 @@ def running_totals(
     """
     group = list(group)
     hist = durable(hist, "histogram")
-    index = _range_index(hist, value, group, range_rows)
     whole = Window.partitionBy(*(group or [F.lit(0)]))
-    if index is None:
-        # bounded: at most range_rows rows per group
+    if hist.count() <= range_rows:
+        # bounded: at most range_rows rows in all
         ordered = whole.orderBy(value)
         so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
         return hist.select(
@@ -71,31 +43,17 @@ def running_totals(
             *[F.sum(s).over(whole).alias(f"total_{s}") for s in sums],
             F.lead(value).over(ordered).alias("next_value"),
         )
-    tagged = hist.withColumn("value_range", index)
-    per_range = tagged.groupBy(*group, "value_range").agg(
-        *[F.sum(s).alias(f"sum_{s}") for s in sums], F.min(value).alias("low")
-    )
-    # bounded: at most MAX_RANGES rows per group
-    ordered = whole.orderBy("value_range")
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_range.select(
-        *[F.col(g).alias(f"of_{g}") for g in group],
-        F.col("value_range").alias("of_range"),
-        *[F.coalesce(F.sum(f"sum_{s}").over(before), F.lit(0)).alias(f"before_{s}") for s in sums],
-        *[F.sum(f"sum_{s}").over(whole).alias(f"total_{s}") for s in sums],
-        F.lead("low").over(ordered).alias("next_low"),
-    )
-    inside = Window.partitionBy(*group, "value_range").orderBy(value)
-    up_to_here = inside.rowsBetween(Window.unboundedPreceding, 0)
-    same = F.col("value_range") == F.col("of_range")
+    placed = in_ranges(hist, [*group, value], hist.columns, range_rows, "ranges")
+    running = with_running(placed, {f"cum_{s}": F.col(s) for s in sums}, group, following={"next_value": value})
+    totals = hist.groupBy(*group).agg(*[F.sum(s).alias(f"total_{s}") for s in sums])
+    if not group:
+        return running.select(*hist.columns, *[f"cum_{s}" for s in sums], *[totals.select(f"total_{s}").scalar().alias(f"total_{s}") for s in sums], "next_value")
+    # one row per column name or class
+    totals = F.broadcast(totals.withColumnsRenamed({g: f"_of_{g}" for g in group}))
+    same = F.lit(True)
     for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
-    return tagged.join(F.broadcast(carried), same).select(
-        *hist.columns,
-        *[(F.col(f"before_{s}") + F.sum(s).over(up_to_here)).alias(f"cum_{s}") for s in sums],
-        *[F.col(f"total_{s}") for s in sums],
-        F.coalesce(F.lead(value).over(inside), F.col("next_low")).alias("next_value"),
-    )
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    return running.join(totals, same).select(*hist.columns, *[f"cum_{s}" for s in sums], *[f"total_{s}" for s in sums], "next_value")
 
 
 def exact_percentiles(

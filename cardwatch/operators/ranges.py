@@ -39,24 +39,40 @@ def _same(names: Sequence[str], prefix: str) -> Column:
     return same
 
 
-def with_running(placed: DataFrame, sums: Mapping[str, Column], group: Sequence[str] = ()) -> DataFrame:
+def with_running(placed: DataFrame, sums: Mapping[str, Column], group: Sequence[str] = (), following: Mapping[str, str] | None = None) -> DataFrame:
     """Adds the inclusive running sum of each of `sums` in the order of `in_ranges`, per `group`.
 
-    `group` names leading columns of that order, so that a group's rows are neighbours.  Only
-    the first group of a range can have begun in an earlier one: what is carried is at most one row a
-    range, and that is what is broadcast.
+    `following` names columns to add that hold the value of another column in the next row of the group, null in the
+    last.  `group` names leading columns of the order, so that a group's rows are neighbours: only the first
+    group of a range can have begun in an earlier one, and only the last can go on.  What is carried is at
+    most two rows a range, and that is what is broadcast.
     """
-    group = list(group)
-    terms = placed.select(*group, PART, *[expr.alias(f"_sum_{name}") for name, expr in sums.items()])
-    per_range = terms.groupBy(*group, PART).agg(*[F.sum(f"_sum_{name}").alias(f"_sum_{name}") for name in sums])
+    group, following = list(group), dict(following or {})
+    terms = placed.select(*group, PART, PLACE, *[expr.alias(f"_sum_{name}") for name, expr in sums.items()], *[F.col(of).alias(f"_next_{name}") for name, of in following.items()])
+    per_range = terms.groupBy(*group, PART).agg(
+        *[F.sum(f"_sum_{name}").alias(f"_sum_{name}") for name in sums],
+        *[F.min_by(f"_next_{name}", PLACE).alias(f"_next_{name}") for name in following],
+        F.max(PLACE).alias("_last"),
+    )
     # one row per range and group; per group as many as it has ranges
-    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    by_range = Window.partitionBy(*(group or [F.lit(0)])).orderBy(PART)
+    earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
     carried = per_range.select(
         *[F.col(name).alias(f"_of_{name}") for name in (*group, PART)],
         *[F.sum(f"_sum_{name}").over(earlier).alias(f"_carry_{name}") for name in sums],
+        *[F.lead(f"_next_{name}").over(by_range).alias(f"_next_{name}") for name in following],
+        "_last",
         F.count(F.lit(1)).over(earlier).alias("_earlier"),
-    ).filter("_earlier > 0").drop("_earlier")
-    inside = Window.partitionBy(PART, *group).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.select("*", *[F.sum(expr).over(inside).alias(f"_local_{name}") for name, expr in sums.items()])
+        F.lead("_last").over(by_range).alias("_later"),
+    ).filter("_earlier > 0 OR _later IS NOT NULL").drop("_earlier", "_later")
+    inside = Window.partitionBy(PART, *group).orderBy(PLACE)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select(
+        "*", *[F.sum(expr).over(so_far).alias(f"_local_{name}") for name, expr in sums.items()], *[F.lead(of).over(inside).alias(f"_inside_{name}") for name, of in following.items()]
+    )
     joined = local.join(F.broadcast(carried), _same(group, "_of_"), "left")
-    return joined.select(*placed.columns, *[(F.col(f"_local_{name}") + F.coalesce(f"_carry_{name}", F.lit(0))).alias(name) for name in sums])
+    return joined.select(
+        *placed.columns,
+        *[(F.col(f"_local_{name}") + F.coalesce(f"_carry_{name}", F.lit(0))).alias(name) for name in sums],
+        *[F.when(F.col(PLACE) == F.col("_last"), F.col(f"_next_{name}")).otherwise(F.col(f"_inside_{name}")).alias(name) for name in following],
+    )

@@ -24,6 +24,15 @@ def test_running_sums(spark, group, range_rows):
     assert sorted(map(tuple, running.select("id", *sums).collect())) == plain(df, sums, group)
 
 
+@pytest.mark.parametrize("group", [[], ["key"]])
+def test_next_value(spark, group):
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("key"), F.when(F.col("id") % 7 > 0, F.col("id") * 2).alias("v"))
+    placed = in_ranges(df, [*group, "id"], ["id", "key", "v"], 41)
+    window = Window.partitionBy(*(group or [F.lit(0)])).orderBy("id")
+    want = sorted(map(tuple, df.select("id", F.lead("v").over(window)).collect()))
+    assert sorted(map(tuple, with_running(placed, {"n": F.lit(1)}, group, {"after": "v"}).select("id", "after").collect())) == want
+
+
 def test_no_rows(spark):
     placed = in_ranges(spark.createDataFrame([], "key int, t int"), ["key", "t"], ["key", "t"])
     assert with_running(placed, {"n": F.lit(1)}, ["key"]).collect() == []
