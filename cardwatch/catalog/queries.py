@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from cardwatch import functions as fn
 from cardwatch.operators import alerts, drift, features as ft, filters, history, metrics, rules, sampling
-from cardwatch.plans import explain, reports, retrain, training, warehouse
+from cardwatch.plans import champions, explain, reports, retrain, training, warehouse
 from cardwatch.schema import RAW_TRANSACTION, SCORED_TRANSACTION, align_schema, union_evolving
 from cardwatch.session import durable, scratch_path
 from cardwatch.sources import files, fixture, sinks
@@ -862,6 +862,31 @@ def _(spark, sf_dir):
     return training.search(training_rows(spark, sf_dir)).trials.drop("params")
 
 
+@query("search_parts", "M9 L9 L13")
+def _(spark, sf_dir):
+    """Rows a class in each fold and in the test part of the search: every labelled row is in one of them."""
+    shared = training.search_rows(training_rows(spark, sf_dir))
+    parts = shared.vectors.select("fold", "is_fraud").unionByName(shared.test.select(F.lit(-1).alias("fold"), "is_fraud"))
+    return parts.groupBy("fold", "is_fraud").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("promoted_runs", "M9 M12 M14")
+def _(spark, sf_dir):
+    """Two runs are stored, the second no better; the champion is read back and its stored model scores the test rows."""
+    registry = champions.Registry(spark, scratch_path(spark, "registry"))
+    train, test = (durable(part, "split") for part in sampling.stratified_split(training_rows(spark, sf_dir), 0.3))
+    model = training.train_lr(train)
+    figure = training.evaluate(test, model, "linear").first()["f2_class_1"] or 0.0
+    started = test.agg(F.max("trans_date_trans_time")).first()[0]
+    for name in ("first", "second"):
+        registry.challenge(registry.record("promotion", name, model, {"f2_class_1": figure}, {}, started), figure)
+    stored, version = registry.champion_model()
+    scored = training.score(test, stored, version)
+    tested = scored.agg(F.count_if(F.col("is_fraud") == 1).alias("n_fraud"), F.count_if(F.col("is_fraud") == 0).alias("n_clean"), F.max("model_version").alias("v"))
+    columns = [tested.select(c).scalar().alias(name) for c, name in (("n_fraud", "n_fraud"), ("n_clean", "n_clean"), ("v", "model_version"))]
+    return registry.runs().select("experiment", "run_name", "champion", *columns)
+
+
 @query("feature_set_sweep", "M10 P10")
 def _(spark, sf_dir):
     return training.sweep(fixture.raw_transactions(spark, sf_dir), parallelism=8)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 
 from cardwatch.operators import features as ft
@@ -11,6 +13,7 @@ from cardwatch.operators.drift import drift_report, needs_retrain
 from cardwatch.operators.filters import outlier_filter
 from cardwatch.operators.rules import mine_categories, mine_cyclic, mine_thresholds, rules_document
 from cardwatch.operators.sampling import balanced_sample
+from cardwatch.plans.champions import FIGURE, Registry
 from cardwatch.plans.explain import contribution_rows, linear_weights
 from cardwatch.plans.training import SearchResult, search, train_lr
 from cardwatch.session import durable
@@ -39,14 +42,28 @@ class Cycle:
     details: DataFrame
     retrained: SearchResult | None
     rules: DataFrame
+    promoted: bool = False
+
+
+def keep_best(registry: Registry, experiment: str, found: SearchResult, started: datetime) -> bool:
+    """Stores the model and the run of a search; it becomes champion if its F2 on unseen rows is the highest so far."""
+    figures = {name: float(value) for name, value in found.figures.drop("run_name").first().asDict().items() if value is not None}
+    run = registry.record(experiment, "best_of_search", found.model, figures, found.best, started)
+    return registry.challenge(run, figures[FIGURE])
+
 
+def daily_cycle(df: DataFrame, day: str, n_trials: int = 100, registry: Registry | None = None, started: datetime | None = None, **search_options) -> Cycle:
+    """Only the verdict and the scores of trials reach the driver.
 
-def daily_cycle(df: DataFrame, day: str, n_trials: int = 100, **search_options) -> Cycle:
-    """Only the verdict and each trial's score reach the driver."""
+    With a registry, what a retraining finds is stored there under the day's name, `started` being the time
+    of its run, and becomes champion if it beats the present one.
+    """
     rows = durable(ft.engineered(df), "cycle")
     verdict, details = drift_report(rows, day)
     verdict, details = durable(verdict, "verdict"), durable(details, "drift")
-    retrained = None
+    retrained, promoted = None, False
     if needs_retrain(verdict).first()["retrain"]:
         retrained = search(outlier_filter(rows), n_trials, **search_options)
-    return Cycle(verdict, details, retrained, rules_from_features(rows))
+        if registry:
+            promoted = keep_best(registry, f"retrain-{day}", retrained, started or datetime.fromisoformat(day))
+    return Cycle(verdict, details, retrained, rules_from_features(rows), promoted)

@@ -21,6 +21,7 @@ from cardwatch.operators.filters import first_days, outlier_filter
 from cardwatch.operators.history import neighbour_mean
 from cardwatch.operators.metrics import classification_metrics, confusion_matrix, roc_auc
 from cardwatch.operators.sampling import (
+    KEY,
     class_count,
     oversample,
     rebalance,
@@ -102,6 +103,12 @@ class Model:
         return cls(PipelineModel.load(f"{path}/pipeline"), list(spark.read.parquet(f"{path}/columns").first()["columns"]))
 
 
+def _tree_folder(spark: SparkSession) -> None:
+    """Boosted trees cut their lineage in a shared folder."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, "trees"))
+
+
 def _fit(df: DataFrame, columns: Sequence[str], learner, scaled: bool = False, **weighting) -> Model:
     rows = class_weights(df, **weighting).select(
         F.col(LABEL).alias("target"), WEIGHT, *[model_input(c) for c in columns]
@@ -109,9 +116,7 @@ def _fit(df: DataFrame, columns: Sequence[str], learner, scaled: bool = False, *
     stages = vectorizer(columns, "raw_features" if scaled else "features")
     if scaled:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(scratch_path(spark, "trees"))
+    _tree_folder(df.sparkSession)
     return Model(Pipeline(stages=[*stages, learner]).fit(rows), list(columns))
 
 
@@ -301,6 +306,65 @@ class SearchResult:
     figures: DataFrame
 
 
+@dataclass(frozen=True)
+class SearchRows:
+    """What all trials of a search share: feature vectors of the training part with their folds, made once."""
+
+    vectors: DataFrame
+    train: DataFrame
+    test: DataFrame
+    encoder: PipelineModel
+    columns: list[str]
+
+
+# rows of a stored training part that one task reads; a boosted tree runs a job a level, so few tasks are wanted
+ROWS_PER_TASK = 50_000
+
+
+def search_rows(df: DataFrame, columns: Sequence[str] = ft.MODEL_FEATURES, folds: int = 5, test_share: float = 0.2) -> SearchRows:
+    """Split, dealt into folds and vectorised; every labelled row is in the test part or in one fold."""
+    train, test = (durable(part, "split") for part in stratified_split(df, test_share))
+    dealt = stratified_folds(train, folds)
+    inputs = dealt.select(F.col(KEY), F.col(LABEL), "fold", *[model_input(c).alias(f"in_{c}") for c in columns])
+    inputs = durable(inputs, "folds")
+    named = inputs.select(KEY, LABEL, "fold", *[F.col(f"in_{c}").alias(c) for c in columns if c not in (KEY, LABEL)])
+    encoder = Pipeline(stages=vectorizer(columns)).fit(named)
+    return SearchRows(durable(encoder.transform(named).select(KEY, LABEL, "fold", "features"), "vectors"), train, test, encoder, list(columns))
+
+
+def _few_tasks(df: DataFrame) -> DataFrame:
+    return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))
+
+
+def _boosted(params: dict[str, float], seed: int = 42) -> GBTClassifier:
+    share = params.get("feature_share", 1.0)
+    return GBTClassifier(
+        labelCol="target", weightCol=WEIGHT, maxIter=int(params.get("trees", TREES)), maxDepth=int(params.get("depth", DEPTH)), stepSize=params.get("rate", RATE),
+        subsamplingRate=params.get("subsample", 1.0), featureSubsetStrategy=str(share) if share < 1.0 else "all", minInstancesPerNode=int(params.get("min_rows", 1)),
+        seed=seed, checkpointInterval=10,
+    )
+
+
+def _fit_vectors(vectors: DataFrame, params: dict[str, float]):
+    rows = class_weights(vectors, positive_weight=params.get("positive_weight", 1.0)).select(F.col(LABEL).alias("target"), WEIGHT, "features")
+    _tree_folder(vectors.sparkSession)
+    return _boosted(params).fit(rows)
+
+
+def rungs(n_trials: int, folds: int, share: int = 3) -> list[tuple[int, list[int]]]:
+    """(trials that run, folds they run) a rung: a third of the trials goes on, the folds double, the last rung runs them all.
+
+    >>> rungs(20, 5)
+    [(20, [0]), (7, [1]), (3, [2, 3, 4])]
+    """
+    steps, left, done = [], n_trials, 0
+    while done < folds:
+        upto = folds if left <= share else min(folds, max(1, 2 * done))
+        steps.append((left, list(range(done, upto))))
+        left, done = max(1, -(-left // share)), upto
+    return steps
+
+
 def search(
     df: DataFrame,
     n_trials: int = 20,
@@ -310,31 +374,47 @@ def search(
     test_share: float = 0.2,
     columns: Sequence[str] = ft.MODEL_FEATURES,
     seed: int = 42,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> SearchResult:
-    """Random search for the highest mean class-1 F2 over stratified folds.
+    """Random search for the highest mean class-1 F2 over stratified folds, by successive halving.
 
-    Only training folds are rebalanced.  The best draw is refitted on the whole
-    rebalanced training part and measured on rows no trial has seen.
+    All trials run on the first fold, the best third on further ones, until the rest has run on all; trials are
+    ranked among those that ran on as many folds.  Only training folds are rebalanced, each once for all trials.
+    The best draw is refitted on the whole rebalanced training part and measured on rows no trial has seen.
+    One pair of numbers per trial and fold comes to the driver.
     """
-    train, test = (durable(part, "split") for part in stratified_split(df, test_share))
-    dealt = durable(stratified_folds(train, folds), "folds")  # the same folds for every trial
+    shared = search_rows(df, columns, folds, test_share)
     draw = random.Random(seed)
     trials = [{name: pick(draw) for name, pick in space.items()} for _ in range(n_trials)]
-    results = []
-    for number, params in enumerate(trials):
-        figures = cross_validate(
-            dealt, folds, lambda rows, p=params: train_gbt(rows, columns, **p), lambda rows: rebalance(rows, ratio), False, parallelism, False
-        )
-        # one number per trial comes to the driver
-        f2, f1 = figures.agg(F.avg("f2_class_1"), F.avg("f1_class_1")).first()
-        results.append((number, f2, f1, {k: float(v) for k, v in params.items()}))
-    best = trials[max(results, key=lambda r: r[1])[0]]
-    model = train_gbt(rebalance(train, ratio), columns, **best)
-    rows = df.sparkSession.createDataFrame(
-        results, "trial int, mean_f2_class_1 double, mean_f1_class_1 double, params map<string,double>"
-    )
-    return SearchResult(rows, best, model, evaluate(test, model, "best_of_search"))
+    figures: list[list[tuple[float, float]]] = [[] for _ in trials]
+    running = list(range(n_trials))
+    for keep, numbers in rungs(n_trials, folds):
+        running = sorted(running, key=lambda t: -_mean(figures[t], 0))[:keep]
+        parts = {f: (_few_tasks(durable(rebalance(shared.vectors.filter(F.col("fold") != f), ratio), "train-fold")), shared.vectors.filter(F.col("fold") == f)) for f in numbers}
+
+        def one(case: tuple[int, int]) -> tuple[float, float]:
+            trial, fold = case
+            train, held = parts[fold]
+            scored = _fit_vectors(train, trials[trial]).transform(held).select(LABEL, F.col("prediction").cast("int").alias("prediction"))
+            row = classification_metrics(confusion_matrix(scored)).first()
+            return row["f2_class_1"], row["f1_class_1"]
+
+        cases = [(trial, fold) for trial in running for fold in numbers]
+        # the longest fits first, so that no thread is left with one at the end
+        cases.sort(key=lambda c: -trials[c[0]].get("trees", TREES) * trials[c[0]].get("depth", DEPTH))
+        for (trial, _), found in zip(cases, _in_threads(df.sparkSession, one, cases, parallelism)):
+            figures[trial].append(found)
+    winner = max(range(n_trials), key=lambda t: (len(figures[t]), _mean(figures[t], 0)))
+    best = trials[winner]
+    fitted = _fit_vectors(_few_tasks(durable(rebalance(shared.vectors, ratio), "train-all")), best)
+    model = Model(PipelineModel([*shared.encoder.stages, fitted]), shared.columns)
+    rows = [(t, len(f), _mean(f, 0), _mean(f, 1), {k: float(v) for k, v in trials[t].items()}) for t, f in enumerate(figures)]
+    found = df.sparkSession.createDataFrame(rows, "trial int, n_folds int, mean_f2_class_1 double, mean_f1_class_1 double, params map<string,double>")
+    return SearchResult(found, best, model, evaluate(shared.test, model, "best_of_search"))
+
+
+def _mean(figures: list[tuple[float, float]], which: int) -> float:
+    return sum(f[which] or 0.0 for f in figures) / len(figures) if figures else 0.0
 
 
 def train_initial(df: DataFrame, days: int = 30, ratio: float = 0.05, test_share: float = 0.2, **params) -> tuple[Model, DataFrame]:
