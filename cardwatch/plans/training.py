@@ -351,18 +351,18 @@ def _fit_vectors(vectors: DataFrame, params: dict[str, float]):
     return _boosted(params).fit(rows)
 
 
-def rungs(n_trials: int, folds: int, share: int = 3) -> list[tuple[int, list[int]]]:
-    """(trials that run, folds they run) a rung: a third of the trials goes on, the folds double, the last rung runs them all.
+def rungs(n_trials: int, folds: int, goes_on: int = 4) -> list[tuple[int, list[int], float]]:
+    """(trials that run, the folds they run, the share of their trees) a rung: one in four goes on, with twice the trees
+    and on another fold, until those that are left run in full on all folds.
 
     >>> rungs(20, 5)
-    [(20, [0]), (7, [1]), (3, [2, 3, 4])]
+    [(20, [0], 0.25), (5, [1], 0.5), (2, [0, 1, 2, 3, 4], 1.0)]
     """
-    steps, left, done = [], n_trials, 0
-    while done < folds:
-        upto = folds if left <= share else min(folds, max(1, 2 * done))
-        steps.append((left, list(range(done, upto))))
-        left, done = max(1, -(-left // share)), upto
-    return steps
+    sizes = [n_trials]
+    while sizes[-1] > goes_on // 2:
+        sizes.append(-(-sizes[-1] // goes_on))
+    last = len(sizes) - 1
+    return [(size, list(range(folds)) if n == last else [n % folds], 0.5 ** (last - n)) for n, size in enumerate(sizes)]
 
 
 def search(
@@ -378,38 +378,40 @@ def search(
 ) -> SearchResult:
     """Random search for the highest mean class-1 F2 over stratified folds, by successive halving.
 
-    All trials run on the first fold, the best third on further ones, until the rest has run on all; trials are
-    ranked among those that ran on as many folds.  Only training folds are rebalanced, each once for all trials.
-    The best draw is refitted on the whole rebalanced training part and measured on rows no trial has seen.
+    All trials run on one fold with a part of their trees, the best on the next with more, until the rest has run on
+    all folds with all trees (`rungs`); a trial's figures are those of the last rung it reached, and the winner is one of
+    the last.  Only training folds are rebalanced, each once for all trials.  The best draw is refitted on the whole rebalanced training part and measured on rows no trial has seen.
     One pair of numbers per trial and fold comes to the driver.
     """
     shared = search_rows(df, columns, folds, test_share)
     draw = random.Random(seed)
     trials = [{name: pick(draw) for name, pick in space.items()} for _ in range(n_trials)]
     figures: list[list[tuple[float, float]]] = [[] for _ in trials]
-    running = list(range(n_trials))
-    for keep, numbers in rungs(n_trials, folds):
-        running = sorted(running, key=lambda t: -_mean(figures[t], 0))[:keep]
-        parts = {f: (_few_tasks(durable(rebalance(shared.vectors.filter(F.col("fold") != f), ratio), "train-fold")), shared.vectors.filter(F.col("fold") == f)) for f in numbers}
-
-        def one(case: tuple[int, int]) -> tuple[float, float]:
-            trial, fold = case
-            train, held = parts[fold]
-            scored = _fit_vectors(train, trials[trial]).transform(held).select(LABEL, F.col("prediction").cast("int").alias("prediction"))
+    running, reached, parts = list(range(n_trials)), [0] * n_trials, {}
+    for rung, (size, numbers, share) in enumerate(rungs(n_trials, folds)):
+        running = sorted(running, key=lambda t: -_mean(figures[t], 0))[:size]
+        for fold in set(numbers) - set(parts):
+            train = _few_tasks(durable(rebalance(shared.vectors.filter(F.col("fold") != fold), ratio), "train-fold"))
+            parts[fold] = (train, shared.vectors.filter(F.col("fold") == fold))
+
+        def one(case: tuple[int, int], share: float = share) -> tuple[float, float]:
+            (train, held), params = parts[case[1]], trials[case[0]]
+            fitted = _fit_vectors(train, {**params, "trees": max(1, round(share * params.get("trees", TREES)))})
+            scored = fitted.transform(held).select(LABEL, F.col("prediction").cast("int").alias("prediction"))
             row = classification_metrics(confusion_matrix(scored)).first()
             return row["f2_class_1"], row["f1_class_1"]
 
         cases = [(trial, fold) for trial in running for fold in numbers]
         # the longest fits first, so that no thread is left with one at the end
         cases.sort(key=lambda c: -trials[c[0]].get("trees", TREES) * trials[c[0]].get("depth", DEPTH))
-        for (trial, _), found in zip(cases, _in_threads(df.sparkSession, one, cases, parallelism)):
-            figures[trial].append(found)
-    winner = max(range(n_trials), key=lambda t: (len(figures[t]), _mean(figures[t], 0)))
-    best = trials[winner]
+        found = _in_threads(df.sparkSession, one, cases, parallelism)
+        for trial in running:
+            figures[trial], reached[trial] = [f for (t, _), f in zip(cases, found) if t == trial], rung
+    best = trials[max(running, key=lambda t: _mean(figures[t], 0))]
     fitted = _fit_vectors(_few_tasks(durable(rebalance(shared.vectors, ratio), "train-all")), best)
     model = Model(PipelineModel([*shared.encoder.stages, fitted]), shared.columns)
-    rows = [(t, len(f), _mean(f, 0), _mean(f, 1), {k: float(v) for k, v in trials[t].items()}) for t, f in enumerate(figures)]
-    found = df.sparkSession.createDataFrame(rows, "trial int, n_folds int, mean_f2_class_1 double, mean_f1_class_1 double, params map<string,double>")
+    rows = [(t, reached[t], len(f), _mean(f, 0), _mean(f, 1), {k: float(v) for k, v in trials[t].items()}) for t, f in enumerate(figures)]
+    found = df.sparkSession.createDataFrame(rows, "trial int, rung int, n_folds int, mean_f2_class_1 double, mean_f1_class_1 double, params map<string,double>")
     return SearchResult(found, best, model, evaluate(shared.test, model, "best_of_search"))
 
 
