@@ -7,7 +7,6 @@ taken, so that of two promotions at once one is refused and no reader ever sees
 
 from __future__ import annotations
 
-import json
 import uuid
 from datetime import datetime
 
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardwatch.operators.metrics import champion_run
 from cardwatch.plans.training import Model
+from cardwatch.sources.files import place_new, read_newest
 
 RUNS = "run_id string, experiment string, run_name string, start_time timestamp_ntz, metrics map<string,double>, params map<string,double>, model_path string"
 FIGURE = "f2_class_1"
@@ -30,13 +30,6 @@ class Registry:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-
-    def _path(self, name: str):
-        return self._fs.Path(f"{self.folder}/{name}")
-
-    def _file_system(self):
-        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def record(self, experiment: str, run_name: str, model: Model, metrics: dict[str, float], params: dict[str, float], started: datetime) -> str:
         """Stores the model, then the row that names it; the id of the new run."""
@@ -59,32 +52,13 @@ class Registry:
 
     def newest(self) -> dict | None:
         """The newest champion record: number, run_id, figure; None before the first promotion."""
-        files = self._file_system()
-        if not files.exists(self._path("champions")):
-            return None
-        names = sorted(status.getPath().getName() for status in files.listStatus(self._path("champions")) if status.getPath().getName().endswith(".json"))
-        if not names:
-            return None
-        return json.loads(self.spark.read.text(f"{self.folder}/champions/{names[-1]}", wholetext=True).first()["value"])
+        return read_newest(self.spark, f"{self.folder}/champions")
 
     def promote(self, run_id: str, figure: float, seen: dict | None) -> None:
         """Makes a run the champion, given the champion record `seen` when that was decided."""
         number = seen["number"] + 1 if seen else 1
-        record = json.dumps({"number": number, "run_id": run_id, "figure": figure})
-        files, beside = self._file_system(), self._path(f"champions/_{uuid.uuid4().hex}")
-        out = files.create(beside, False)
-        out.write(bytearray(record.encode()))
-        out.close()
-        context = self._fs.FileContext.getFileContext(beside.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        no_options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            # fails if the target is there
-            context.rename(files.makeQualified(beside), files.makeQualified(self._path(f"champions/{number:012d}.json")), no_options)
-        except Exception as error:
-            files.delete(beside, False)
-            if "FileAlreadyExists" in str(error):
-                raise Refused(f"champion {number} was named meanwhile") from error
-            raise
+        if not place_new(self.spark, f"{self.folder}/champions", number, {"number": number, "run_id": run_id, "figure": figure}):
+            raise Refused(f"champion {number} was named meanwhile")
 
     def challenge(self, run_id: str, figure: float) -> bool:
         """Promotes the run if there is no champion or its figure is higher; whether it was promoted."""

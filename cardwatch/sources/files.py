@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -18,6 +22,46 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
+def numbered_texts(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the records that `place_new` put in a folder, oldest first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = (status.getPath().getName() for status in files.listStatus(path))
+    return sorted(name for name in names if name.endswith(".json"))
+
+
+def read_newest(spark: SparkSession, folder: str) -> dict | None:
+    """The record of the highest number, None before the first."""
+    names = numbered_texts(spark, folder)
+    return json.loads(spark.read.text(f"{folder}/{names[-1]}", wholetext=True).first()["value"]) if names else None
+
+
+def place_new(spark: SparkSession, folder: str, number: int, record: dict) -> bool:
+    """Puts a record under a number, whole or not at all; False if the number is taken.
+
+    The record is written beside its place and moved there, and the move does not overwrite.
+    """
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    beside, target = fs.Path(f"{folder}/_{uuid.uuid4().hex}"), fs.Path(f"{folder}/{number:012d}.json")
+    files = beside.getFileSystem(conf)
+    out = files.create(beside, False)
+    out.write(bytearray(json.dumps(record).encode()))
+    out.close()
+    no_options = spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
+    beside, target = files.makeQualified(beside), files.makeQualified(target)
+    try:
+        fs.FileContext.getFileContext(beside.toUri(), conf).rename(beside, target, no_options)
+    except Py4JJavaError as error:
+        files.delete(beside, False)
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def read_transactions(spark: SparkSession, path: str, schema: StructType = RAW_TRANSACTION) -> DataFrame:
     """Typed scan of headed CSV files; unreadable fields become NULL."""
     reader = spark.read.schema(schema).options(header="true", mode="PERMISSIVE", timestampNTZFormat=TIMESTAMP_TEXT)

@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from cardwatch.operators.history import first_by_key
 from cardwatch.schema import SCORED_TRANSACTION, align_schema
 from cardwatch.sources.files import TIMESTAMP_TEXT, path_exists
+from cardwatch.sources.key_index import KeyIndex
+
+
+def _required(batch: DataFrame, key: str) -> Column:
+    """The key; a row without one ends the job."""
+    return F.coalesce(F.col(key), F.raise_error(F.lit(f"a row to insert has no {key}")).cast(batch.schema[key].dataType))
 
 
 def insert_if_absent(
@@ -20,8 +26,7 @@ def insert_if_absent(
     key column of the target and, for a batch of ordinary size, no shuffle of it.
     A row without a key is an error, as in a table with a primary key.
     """
-    keyed = F.coalesce(F.col(key), F.raise_error(F.lit(f"a row to insert has no {key}")).cast(batch.schema[key].dataType))
-    batch = batch.withColumn(key, keyed)
+    batch = batch.withColumn(key, _required(batch, key))
     first = first_by_key(batch, key, *(arrival or [F.col(key)]))
     known = target.select(key).join(batch.select(key).distinct(), key, "left_semi")
     return first.join(known, key, "left_anti")
@@ -37,18 +42,27 @@ def append_if_absent(
 ) -> DataFrame:
     """Append the new rows of a batch under `path/batch_id=N`; returns what was written.
 
-    A retried batch replaces its own folder and compares itself only with the others,
-    so running it twice leaves the same table.
+    Keys already stored are looked up in the index below `path/_keys`, in the buckets that the batch's keys fall in; a
+    table that has no index yet is read once for its keys.  The rows are written, then the index is committed: a batch
+    that failed in between replaces its own folder when it is run again, and one that is committed changes nothing.
     """
     spark = batch.sparkSession
-    stamped = batch.withColumn(
-        "logged_at", logged_at if logged_at is not None else F.current_timestamp().cast("timestamp_ntz")
-    )
-    others = read_scored(spark, path).filter(F.col("batch_id") != batch_id)
-    new = insert_if_absent(stamped, others, key, arrival)
-    folder = f"{path}/batch_id={batch_id}"
-    align_schema(new).write.mode("overwrite").parquet(folder)
-    return spark.read.schema(SCORED_TRANSACTION).parquet(folder)
+    index, folder = KeyIndex(spark, f"{path}/_keys", key), f"{path}/batch_id={batch_id}"
+    stored = spark.read.schema(SCORED_TRANSACTION)
+    if index.manifest()["number"] == 0 and path_exists(spark, path):
+        earlier = read_scored(spark, path).filter(F.col("batch_id") != batch_id)
+        for number in sorted(row[0] for row in earlier.select("batch_id").distinct().collect()):
+            index.commit(number, earlier.filter(F.col("batch_id") == number).select(key), index.manifest())
+    stamped = batch.withColumn("logged_at", logged_at if logged_at is not None else F.current_timestamp().cast("timestamp_ntz"))
+    stamped = stamped.withColumn(key, _required(stamped, key))
+    while not index.holds_batch(batch_id):
+        seen = index.manifest()
+        known = index.known(stamped.select(key).distinct(), seen)
+        new = first_by_key(stamped, key, *(arrival or [F.col(key)])).join(known, key, "left_anti")
+        align_schema(new).write.mode("overwrite").parquet(folder)
+        if index.commit(batch_id, stored.parquet(folder).select(key), seen):
+            break  # else another batch was committed meanwhile: its keys are looked up too
+    return stored.parquet(folder)
 
 
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
