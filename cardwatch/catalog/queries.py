@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -120,6 +121,25 @@ def _(spark, sf_dir):
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amt").alias("volume"))
 
 
+def day_table(spark: SparkSession, sf_dir: str) -> str:
+    """The name of a new table of the scored fact by event day."""
+    name = f"fact_{uuid.uuid4().hex}"
+    files.write_day_table(fact(spark, sf_dir), name, scratch_path(spark, name))
+    return name
+
+
+@query("table_days", "S4")
+def _(spark, sf_dir):
+    rows = files.read_table(spark, day_table(spark, sf_dir), ["trans_num", "amt", "event_day"])
+    return rows.filter(F.col("event_day").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-09").cast("date")))
+
+
+@query("table_first", "S6")
+def _(spark, sf_dir):
+    found = files.read_with_fallback(spark, day_table(spark, sf_dir), scratch_path(spark, "no-csv"))
+    return found.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amt").alias("volume"))
+
+
 @query("metric_files", "S10 K5")
 def _(spark, sf_dir):
     path = scratch_path(spark, "metrics")

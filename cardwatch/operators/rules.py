@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch import functions as fn
@@ -94,24 +96,30 @@ def mine_categories(contributions: DataFrame) -> DataFrame:
 CYCLES = {"hour": 24, "weekday": 7, "month": 12}
 
 
+def attribution_rows(df: DataFrame, key: str, entries: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Long rows (trans_num, feature, value, contribution) from (value, contribution) per encoded column.
+
+    The sine row of a cycle also has `cosine`, the other value, and `cycle`, both contributions together, and the cosine
+    row says with `in_cycle` that it is part of one: so the two never have to be brought together again.
+    """
+    rows, none = [], F.lit(None).cast("double")
+    for name, (value, share) in entries.items():
+        part, _, wave = name.rpartition("_")
+        pair = entries.get(f"{part}_cos") if wave == "sin" and part in CYCLES else None
+        in_cycle = wave == "cos" and part in CYCLES and f"{part}_sin" in entries
+        rows.append(
+            F.struct(
+                F.lit(name).alias("feature"), value.cast("double").alias("value"), share.cast("double").alias("contribution"),
+                (pair[0].cast("double") if pair else none).alias("cosine"), (share + pair[1] if pair else none).alias("cycle"), F.lit(in_cycle).alias("in_cycle"),
+            )
+        )
+    return df.select(F.col(key).alias("trans_num"), F.explode(F.array(*rows)).alias("e")).select("trans_num", "e.*")
+
+
 def mine_cyclic(contributions: DataFrame) -> DataFrame:
-    """Hours, weekdays and months whose summed sine and cosine contribution is high."""
-    names = [f"{part}_{wave}" for part in CYCLES for wave in ("sin", "cos")]
-    pairs = (
-        contributions.filter(F.col("feature").isin(names))
-        .select(
-            "trans_num",
-            F.substring_index("feature", "_", 1).alias("part"),
-            F.substring_index("feature", "_", -1).alias("wave"),
-            "value",
-            "contribution",
-        )
-        .groupBy("trans_num", "part")
-        .agg(
-            F.max(F.when(F.col("wave") == "sin", F.col("value"))).alias("sine"),
-            F.max(F.when(F.col("wave") == "cos", F.col("value"))).alias("cosine"),
-            F.sum("contribution").alias("contribution"),
-        )
+    """Hours, weekdays and months whose summed sine and cosine contribution is high; rows are those of `attribution_rows`."""
+    pairs = contributions.filter(F.col("feature").isin([f"{part}_sin" for part in CYCLES]) & F.col("cosine").isNotNull()).select(
+        F.substring_index("feature", "_", 1).alias("part"), F.col("value").alias("sine"), "cosine", F.col("cycle").alias("contribution")
     )
     decoded = F.when(F.col("part") == "month", fn.decode_month(F.col("sine"), F.col("cosine")))
     for part in ("hour", "weekday"):

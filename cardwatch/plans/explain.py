@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.operators.features import UNBOUNDED_TEXT
+from cardwatch.operators.rules import attribution_rows
 from cardwatch.plans.training import INDEXED_TEXT, Model, model_input
 
 # The attributions stored with a transaction, the grouped names.
@@ -68,16 +69,8 @@ def attribute(scored: DataFrame, weights: Mapping[str, Weight]) -> DataFrame:
 
 
 def contribution_rows(df: DataFrame, weights: Mapping[str, Weight], key: str = "trans_num") -> DataFrame:
-    """(trans_num, feature, value, contribution), one row per encoded column."""
-    entries = [
-        F.struct(
-            F.lit(name).alias("feature"),
-            encoded_value(name).alias("value"),
-            contribution(name, weight).alias("contribution"),
-        )
-        for name, weight in weights.items()
-    ]
-    return df.select(key, F.explode(F.array(*entries)).alias("e")).select(F.col(key).alias("trans_num"), "e.*")
+    """One row per encoded column, as `attribution_rows` has them."""
+    return attribution_rows(df, key, {name: (encoded_value(name), contribution(name, weight)) for name, weight in weights.items()})
 
 
 def _grouped_name() -> Column:
@@ -89,10 +82,9 @@ def _grouped_name() -> Column:
 
 
 def grouped(contributions: DataFrame) -> DataFrame:
-    """Sine and cosine of one cycle summed per transaction."""
-    return contributions.groupBy("trans_num", _grouped_name().alias("feature")).agg(
-        F.sum("contribution").alias("contribution")
-    )
+    """Sine and cosine of one cycle as one row of the transaction; nothing is shuffled."""
+    own = contributions.filter(~F.col("in_cycle"))
+    return own.select("trans_num", _grouped_name().alias("feature"), F.coalesce("cycle", "contribution").alias("contribution"))
 
 
 def global_importance(contributions: DataFrame) -> DataFrame:

@@ -84,6 +84,18 @@ def typed(text: DataFrame) -> DataFrame:
     return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in RAW_TRANSACTION.fields], *extra)
 
 
+def write_day_table(df: DataFrame, name: str, path: str, ts: str = "trans_date_trans_time", rows_per_file: int = 5_000_000) -> None:
+    """Stores rows as an external table laid out by `event_day`, so that a filter on it reads those days alone.
+
+    Rows are placed by day and time, so a day with very many rows lies in several files, each of a part of the day.  Rows
+    without a time are in the null day.  The table must not exist.
+    """
+    dated = df.withColumn("event_day", F.to_date(ts))
+    files = max(1, -(-df.count() // rows_per_file))
+    placed = dated.repartitionByRange(files, "event_day", ts).sortWithinPartitions("event_day", ts)
+    placed.write.partitionBy("event_day").option("path", path).saveAsTable(name)
+
+
 def read_table(spark: SparkSession, name: str, columns: list[str] | None = None) -> DataFrame:
     table = spark.table(name)
     return table.select(*columns) if columns else table

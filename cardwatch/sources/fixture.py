@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardwatch import functions as fn
 from cardwatch.operators.features import POSITIONS
-from cardwatch.operators.rules import fast_pass
+from cardwatch.operators.rules import attribution_rows, fast_pass
 from cardwatch.schema import RULES
 
 # The rule document of the derived fact.
@@ -111,7 +111,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contributions(scored: DataFrame) -> DataFrame:
-    """Attribution rows (trans_num, feature, value, contribution) for rule mining."""
+    """Attribution rows for rule mining."""
     measured = scored.withColumns(
         {
             **fn.cyclic_columns(F.col("trans_date_trans_time")),
@@ -123,8 +123,5 @@ def contributions(scored: DataFrame) -> DataFrame:
     values |= {f"category_{c}": f"category = '{c}'" for c in ("view", "signup", "error", "click", "purchase")}
     values |= {"gender_F": "gender = 'F'"}
     values |= {f"{part}_{wave}": f"{part}_{wave}" for part in ("hour", "weekday", "month") for wave in ("sin", "cos")}
-    entries = ", ".join(
-        f"struct('{name}' AS feature, CAST({value} AS DOUBLE) AS value, (event_id * {11 + 6 * place} % 2001 - 1000) / 1000D AS contribution)"
-        for place, (name, value) in enumerate(values.items())
-    )
-    return measured.selectExpr("trans_num", f"inline(array({entries}))")
+    shares = [f"(event_id * {11 + 6 * place} % 2001 - 1000) / 1000D" for place in range(len(values))]
+    return attribution_rows(measured, "trans_num", {name: (F.expr(value), F.expr(share)) for (name, value), share in zip(values.items(), shares)})

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from cardwatch.operators import drift, history, hotkeys, ordered, sampling
+from cardwatch.operators import drift, history, hotkeys, ordered, rules, sampling
+from cardwatch.plans import explain
+from cardwatch.session import scratch_path
+from cardwatch.sources import files, fixture
 
 
 def rows_of(df):
@@ -135,3 +138,19 @@ def test_wasserstein_in_ranges_equals_brute_force(spark, monkeypatch):
     mean = sum(ref) / len(ref)
     deviation = (sum((x - mean) ** 2 for x in ref) / len(ref)) ** 0.5
     assert abs(found - area / deviation) < 1e-9
+
+
+def test_cycles_are_mined_without_a_shuffle_of_transactions(fact):
+    rows = fixture.contributions(fact)
+    for df in (rules.mine_cyclic(rows), explain.global_importance(rows), explain.local_explanation(rows, "t1")):
+        assert "hashpartitioning(trans_num" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_table_by_day_is_pruned(spark, fact):
+    name = "fact_by_day"
+    files.write_day_table(fact, name, scratch_path(spark, name), rows_per_file=500)
+    day = files.read_table(spark, name, ["trans_num", "event_day"]).filter("event_day = DATE'2024-01-05'")
+    assert day.select(F.input_file_name()).distinct().count() < len(spark.table(name).inputFiles())
+    assert "PartitionFilters: [isnotnull(event_day" in day._jdf.queryExecution().executedPlan().toString()
+    assert files.read_with_fallback(spark, name, "/nowhere").count() == fact.count()
+    spark.sql(f"DROP TABLE {name}")
