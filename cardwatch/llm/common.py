@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import re
 from functools import lru_cache
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -44,8 +43,8 @@ def give_back() -> None:
 class BatchCache(dict):
     """Results by key, computed for many missing keys at once.
 
-    Holds about `limit` short keys besides those of the current batch: past that the
-    older half goes.
+    Holds at most `limit` short keys besides those of the current batch: past that the
+    older ones go.
     """
 
     def __init__(self, compute_many, limit: int = 300_000, longest: int = 48) -> None:
@@ -58,10 +57,9 @@ class BatchCache(dict):
             self.pop(key, None)
         missing = [key for key in keys if key not in self]
         if len(self) + len(missing) > self.limit:
-            # the older half goes, but for what is wanted now
-            for key in list(islice(self, len(self) // 2)):
-                if key not in keys:
-                    del self[key]
+            kept = {key: self[key] for key in keys if key in self}
+            self.clear()
+            self.update(kept)
         self.update(zip(missing, self.compute_many(missing)))
         self.long_keys = [key for key in missing if len(key) > self.longest]
 

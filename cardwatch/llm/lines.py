@@ -105,21 +105,35 @@ def drop_common_lines(
     """
     spark = df.sparkSession
     lines = F.split(whole_text(text), "\n", -1)
-    long_enough = F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= least_chars)
-    hashed = F.array_distinct(F.transform(long_enough, lambda k: F.struct(_hash(k).alias("h1"), _second_hash(k).alias("h2"))))
-    keys = durable(df.select(F.col(key).alias("id"), hashed.alias("keys")), "line-keys")
+    pair = lambda k: F.when(F.length(k) >= least_chars, F.struct(_hash(k).alias("h1"), _second_hash(k).alias("h2")))
+    # a row is known by its id and its text: rows equal in both lose the same lines
+    row = {"_row_id": F.col(key), "_row_h1": _hash(whole_text(text)), "_row_h2": _second_hash(whole_text(text))}
+    keys = durable(df.select(*[value.alias(name) for name, value in row.items()], F.transform(F.transform(lines, line_key), pair).alias("keys")), "line-keys")
     total = keys.agg(F.sum(F.size("keys"))).first()[0] or 0
     runs = LineRuns(spark, max(1, -(-total // keys_per_bucket)), least_documents)
-    for batch in range(batches):
-        chosen = keys.filter(F.pmod(F.xxhash64("id", F.size("keys")), F.lit(batches)) == batch)
-        runs.add(chosen.select(F.inline("keys")))
-    common = durable(runs.common().select("h1", "h2"), "common-lines")
-    runs.close()
-    found = keys.select("id", F.inline("keys")).join(common, ["h1", "h2"])
-    drops = found.groupBy("id").agg(F.collect_set("h1").alias("_drops")).withColumnRenamed("id", "_drops_of")
-    joined = df.join(drops, F.col(key).eqNullSafe(F.col("_drops_of")), "left").drop("_drops_of")
-    stays = F.filter(lines, lambda line: (F.length(line_key(line)) < least_chars) | ~F.array_contains("_drops", _hash(line_key(line))))
-    kept = F.when(F.col("_drops").isNull(), lines).otherwise(stays)
-    out = joined.withColumn("kept_text", F.array_join(kept, "\n"))
-    n_kept = F.when(F.col("_drops").isNull(), F.size(lines)).otherwise(F.size(stays))
-    return out.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - n_kept).cast("long")}).drop("_drops")
+    try:
+        for batch in range(batches):
+            chosen = keys.filter(F.pmod(F.xxhash64("_row_id", "_row_h1"), F.lit(batches)) == batch)
+            # sorted, so that equal keys are neighbours and each counts once a document
+            ordered = chosen.select(F.sort_array(F.filter("keys", lambda k: k.isNotNull())).alias("ordered"))
+            once = F.filter("ordered", lambda k, i: (i == 0) | (k != F.get("ordered", i - 1)))
+            runs.add(ordered.select(F.inline(once)))
+        common = durable(runs.common().select("h1", "h2"), "common-lines")
+    finally:
+        runs.close()
+    found = keys.select(*row, F.posexplode("keys").alias("_at", "_key")).select(*row, "_at", F.col("_key.h1").alias("h1"), F.col("_key.h2").alias("h2")).join(common, ["h1", "h2"])
+    drops = found.groupBy(*row).agg(F.collect_set("_at").alias("_line_drops")).withColumnsRenamed({name: f"{name}_of" for name in row})
+    same = F.lit(True)
+    for name in row:
+        same = same & F.col(name).eqNullSafe(F.col(f"{name}_of"))
+    joined = df.withColumns({**row, "_line_texts": lines}).join(drops, same, "left")
+    # both sides of array_except are hashed: the work grows with the lines, not with their square
+    places = F.array_except(F.sequence(F.lit(0), F.size("_line_texts") - 1), F.coalesce("_line_drops", F.array().cast("array<int>")))
+    out = joined.withColumn("_line_places", places)
+    kept = F.transform("_line_places", lambda i: F.get("_line_texts", i))
+    out = out.withColumns({
+        "kept_text": F.array_join(F.when(F.col("_line_drops").isNull(), F.col("_line_texts")).otherwise(kept), "\n"),
+        "n_lines": F.size("_line_texts").cast("long"),
+        "n_dropped": (F.size("_line_texts") - F.size("_line_places")).cast("long"),
+    })
+    return out.drop(*row, *[f"{name}_of" for name in row], "_line_texts", "_line_drops", "_line_places")

@@ -122,3 +122,19 @@ def test_lines_with_odd_rows(spark, edge_docs, no_docs):
     assert all((r.n_lines, r.n_dropped, r.kept_text) == (1, 0, "") for r in blank)
     turkish = spark.createDataFrame([(i, "\tİx A \n" + str(i)) for i in range(3)] + [(9, "i̇x a")], "doc_id long, text string")
     assert {r.doc_id: r.n_dropped for r in lines.drop_common_lines(turkish, least_documents=3).collect()} == {0: 1, 1: 1, 2: 1, 9: 0}
+
+
+def test_work_grows_with_the_lines(spark):
+    """Documents of ten times the lines take far less than a hundred times as long."""
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"line number {i} of all" for i in range(n))
+        docs = spark.createDataFrame([(i, text) for i in range(12)] + [(None, text)], "doc_id long, text string").repartition(4)
+        started = time.time()
+        rows = lines.drop_common_lines(docs).select("n_lines", "n_dropped", "kept_text").collect()
+        assert all((r.n_lines, r.n_dropped, r.kept_text) == (n, n, "") for r in rows) and len(rows) == 13
+        return time.time() - started
+
+    seconds(100)
+    assert seconds(20_000) < 8 * max(1.0, seconds(2_000))
