@@ -12,7 +12,7 @@ from cardwatch.operators import alerts, drift, features as ft, filters, history,
 from cardwatch.plans import champions, explain, reports, retrain, training, warehouse
 from cardwatch.schema import RAW_TRANSACTION, SCORED_TRANSACTION, align_schema, union_evolving
 from cardwatch.session import durable, scratch_path
-from cardwatch.sources import files, fixture, sinks
+from cardwatch.sources import files, fixture, rejects, sinks
 from cardwatch.streaming import queue
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,28 @@ def _(spark, sf_dir):
     )
 
 
+@query("rejected_rows", "S2 P19")
+def _(spark, sf_dir):
+    """Broken text rows are read, and kept by reason next to the good ones."""
+    path, kind = scratch_path(spark, "broken"), F.pmod(F.substring("trans_num", 2, 12).cast("long"), F.lit(40))
+    text = fixture.raw_transactions(spark, sf_dir).select(*RAW_TRANSACTION.names)
+    broken = text.withColumns(
+        {
+            "amt": F.when(kind == 1, F.lit("n/a")).otherwise(F.col("amt").cast("string")),
+            "trans_date_trans_time": F.when(kind != 2, F.date_format("trans_date_trans_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")),
+            "zip": F.when(kind == 3, F.lit("abc")).otherwise(F.col("zip").cast("string")),
+            "trans_num": F.when(kind != 4, F.col("trans_num")),
+            "cc_num": F.when(kind != 4, F.col("cc_num")),
+        }
+    )
+    sinks.write_csv(broken, path)
+    checked = scratch_path(spark, "checked")
+    rejects.write_checked(rejects.read_csv_with_lines(spark, path), checked)
+    good = rejects.accepted(spark, checked).select(F.lit("").alias("reject_reason"), F.col("amt").alias("amt"))
+    bad = rejects.rejected(spark, checked).select("reject_reason", F.lit(None).cast("decimal(10,2)").alias("amt"))
+    return good.unionByName(bad).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amt").alias("volume"))
+
+
 @query("first_rows", "S3")
 def _(spark, sf_dir):
     return filters.read_head(fact(spark, sf_dir), 25, "trans_date_trans_time", "trans_num").select("trans_num", "amt")
