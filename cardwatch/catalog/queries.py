@@ -1007,8 +1007,11 @@ def _(spark, sf_dir):
     return cut.groupBy("bin_number", "file_name").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amt").alias("volume"))
 
 
-def drained(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Cut the raw rows into queue files, drain them as a stream, return the output folders."""
+def drained(spark: SparkSession, sf_dir: str, registry: champions.Registry | None = None) -> dict[str, str]:
+    """Cut the raw rows into queue files, drain them as a stream, return the output folders.
+
+    The rows are scored by the registry's champion, or by the amount alone where there is no registry.
+    """
     base = scratch_path(spark, "queue")
     where = {name: f"{base}/{name}" for name in ("files", "fact", "outbox", "ledger", "checkpoint")}
     raw = fixture.raw_transactions(spark, sf_dir)
@@ -1024,15 +1027,31 @@ def drained(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         )
 
     def start_query():
+        chosen = queue.pinned_scorer(registry, where["checkpoint"]) if registry else scorer
         return queue.run_queue(
             spark, where["files"], where["fact"], where["checkpoint"], where["outbox"], where["ledger"],
-            fixture.fixture_rules(spark), scorer, WEIGHTS, files_per_batch=32,
+            fixture.fixture_rules(spark), chosen, WEIGHTS, files_per_batch=32,
         )
 
     start_query().awaitTermination()
     return where
 
 
+@query("queue_by_champion", "T2 M12")
+def _(spark, sf_dir):
+    """The queue scored by a stored champion: how many rows have the class and probability that scoring the whole table gives."""
+    registry = champions.Registry(spark, scratch_path(spark, "registry"))
+    rows = training_rows(spark, sf_dir)
+    model = training.train_lr(rows)
+    started = rows.agg(F.max("trans_date_trans_time")).first()[0]
+    registry.challenge(registry.record("queue", "linear", model, {}, {}, started), 0.5)
+    streamed = sinks.read_scored(spark, drained(spark, sf_dir, registry)["fact"]).select("trans_num", "prediction", "prediction_proba", "model_version")
+    batch = training.score(rows, model, 1).select("trans_num", F.col("prediction").alias("p"), F.col("prediction_proba").alias("q"))
+    same = (F.col("prediction") == F.col("p")) & (F.col("prediction_proba") == F.col("q"))
+    joined = streamed.join(batch, "trans_num", "full")
+    return joined.groupBy("model_version").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(same).alias("n_equal"))
+
+
 @query("queue_drain", "S8 T1 T2 T3 K1")
 def _(spark, sf_dir):
     scored = sinks.read_scored(spark, drained(spark, sf_dir)["fact"])

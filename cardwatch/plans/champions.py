@@ -81,5 +81,8 @@ class Registry:
         seen = self.newest()
         if seen is None:
             return None
-        path = self.runs().filter(F.col("run_id") == seen["run_id"]).first()["model_path"]
-        return Model.load(self.spark, path), seen["number"]
+        return self.model(seen["run_id"]), seen["number"]
+
+    def model(self, run_id: str) -> Model:
+        """The stored model of a run."""
+        return Model.load(self.spark, self.runs().filter(F.col("run_id") == run_id).first()["model_path"])

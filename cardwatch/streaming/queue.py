@@ -17,9 +17,11 @@ from cardwatch.operators.filters import TS
 from cardwatch.operators.history import DAY
 from cardwatch.operators.rules import fast_pass
 from cardwatch.plans.explain import Weight, attribute
+from cardwatch.plans.champions import Registry
+from cardwatch.plans.training import score
 from cardwatch.plans.warehouse import stg_transactions
 from cardwatch.schema import RAW_FIELDS, RAW_TEXT
-from cardwatch.sources.files import TIMESTAMP_TEXT, path_exists, typed
+from cardwatch.sources.files import TIMESTAMP_TEXT, path_exists, place_new, read_newest, typed
 from cardwatch.sources.sinks import append_if_absent, file_ledger, insert_if_absent
 
 
@@ -99,6 +101,24 @@ def unscored(df: DataFrame) -> DataFrame:
     )
 
 
+def pinned_scorer(registry: Registry, checkpoint: str) -> Scorer:
+    """Scores with the champion of the moment at which a stream first asked; later champions do not change a running queue.
+
+    The run is named in a record under the stream's checkpoint, so a restarted stream loads the same model, once per
+    start.  Without a champion nothing is pinned and nothing is predicted.
+    """
+    spark, folder = registry.spark, f"{checkpoint}/model"
+    pinned = read_newest(spark, folder)
+    champion = registry.newest()
+    if pinned is None and champion is not None:
+        place_new(spark, folder, 1, champion)
+        pinned = read_newest(spark, folder)  # of two starts at once the first one's
+    if pinned is None:
+        return unscored
+    model = registry.model(pinned["run_id"])
+    return lambda rows: score(rows, model, pinned["number"])
+
+
 def prepare_batch(raw: DataFrame, rules: DataFrame) -> DataFrame:
     """Typed rows with features and the rule score."""
     return fast_pass(ft.engineered(typed(raw)), rules)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cardwatch.operators import features as ft
 from cardwatch.plans import champions, retrain, training
 from cardwatch.session import durable, scratch_path
+from cardwatch.streaming import queue
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +58,16 @@ def test_one_champion_at_a_time(spark, rows):
     assert registry.champion().first().run_id == high
     assert registry.champion_model()[0].columns == ["amt", "category"]
     assert registry.runs().filter(F.col("champion").isNull()).isEmpty()
+
+
+def test_a_stream_keeps_its_model(spark, rows):
+    registry, checkpoint = champions.Registry(spark, scratch_path(spark, "registry")), scratch_path(spark, "checkpoint")
+    assert queue.pinned_scorer(registry, checkpoint) is queue.unscored
+    first, second = training.train_lr(rows, ["amt"], iterations=3), training.train_lr(rows, ["city_pop"], iterations=3)
+    registry.challenge(registry.record("e", "first", first, {}, {}, datetime(2024, 1, 1)), 0.1)
+    scored = queue.pinned_scorer(registry, checkpoint)(rows)
+    assert registry.challenge(registry.record("e", "second", second, {}, {}, datetime(2024, 1, 2)), 0.2)
+    again = queue.pinned_scorer(registry, checkpoint)(rows)  # as after a restart
+    assert again.exceptAll(scored).isEmpty() and again.exceptAll(training.score(rows, first, 1)).isEmpty()
+    other = queue.pinned_scorer(registry, scratch_path(spark, "checkpoint"))(rows)
+    assert {r.model_version for r in other.select("model_version").distinct().collect()} == {"fraud_detector_v2"}
