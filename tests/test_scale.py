@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.operators import drift, history, hotkeys, ordered, rules, sampling
 from cardwatch.plans import explain
-from cardwatch.session import scratch_path
+from cardwatch.session import durable, scratch_path
 from cardwatch.sources import files, fixture
 
 
@@ -94,6 +94,48 @@ def test_sampling_is_exact_repeatable_and_disjoint(fact):
     assert sampling.sample_n(fact, 10**9).count() == fact.count()
 
 
+def test_draws_are_one_scan_without_shuffle(fact):
+    def scans(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return len([line for line in plan.splitlines() if "FileScan" in line and "event_mark" in line]), "Window" in plan
+
+    source = durable(fact.select("trans_num", "is_fraud", F.lit(1).alias("event_mark")), "draw-source")
+    train, test = sampling.stratified_split(source, 0.3)
+    for drawn in (sampling.rebalance(source, 0.2), sampling.undersample(source), sampling.balanced_sample(source, {0: 80, 1: 20}), train, test):
+        assert scans(drawn) == (1, False)
+
+
+def test_draws_of_odd_rows_equal_sorted_hashes(spark):
+    rows = [(None if i % 50 == 0 else i, [None, 0, 1, 2][i % 4]) for i in range(2000) if i % 50 or not i]
+    df = spark.createDataFrame(rows, "trans_num long, is_fraud int")
+    draws = df.select("*", F.xxhash64("trans_num", F.lit(42)).alias("h")).collect()
+    for share in (0.0, 0.07, 0.5, 1.0):
+        want = set()
+        for value in (None, 0, 1, 2):
+            own = sorted((r for r in draws if r.is_fraud == value), key=lambda r: (r.h % 2**64 >> 48, r.h))
+            want |= {r.trans_num for r in own[: int(len(own) * share + 0.5)]}
+        train, test = sampling.stratified_split(df, share)
+        assert {r.trans_num for r in test.collect()} == want
+        assert test.count() == len(want) and train.count() == len(rows) - len(want)
+        assert not want & {r.trans_num for r in train.collect()}
+    assert sampling.balanced_sample(df.limit(0), {0: 5, 1: 5}).count() == 0
+
+
+def test_draws_of_many_classes(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("trans_num"), (F.col("id") % 300).alias("cls"))
+    few = sampling.take_per_class(df, F.lit(4), "cls")
+    monkeypatch.setattr(sampling, "MANY_CLASSES", 10)
+    assert rows_of(few) == rows_of(sampling.take_per_class(df, F.lit(4), "cls")) and few.count() == 1200
+
+
+def test_hybrid_fills_the_shortfall(fact):
+    recent, reference = fact.filter("category = 'error'"), fact.filter("category <> 'error'")
+    have = {r.is_fraud: r["count"] for r in recent.groupBy("is_fraud").count().collect()}
+    want = {0: have[0] + 25, 1: max(1, have[1] // 2)}
+    got = {(r.is_fraud, r.fresh): r["count"] for r in sampling.hybrid_sample(recent, reference, want).groupBy("is_fraud", (F.col("category") == "error").alias("fresh")).count().collect()}
+    assert got == {(0, True): have[0], (0, False): 25, (1, True): want[1]}
+
+
 def test_rebalance_edges(fact):
     for ratio in (0.0, 1.0, -0.5, 1.5, 0.0001):
         assert sampling.rebalance(fact, ratio).count() == fact.count()
