@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from cardwatch.functions.tails import chi_square_tail, kolmogorov_tail, normal_tail
 from cardwatch.operators.filters import TS
 from cardwatch.operators.ordered import running_totals
 from cardwatch.session import durable
@@ -146,43 +145,6 @@ def needs_retrain(verdict: DataFrame) -> DataFrame:
     )
 
 
-def _chi_square_tail(statistic: float, freedom: int) -> float:
-    """P(X > statistic), closed forms for whole degrees of freedom."""
-    half = statistic / 2.0
-    if freedom % 2 == 0:
-        term, total = math.exp(-half), 0.0
-        for i in range(freedom // 2):
-            total += term
-            term *= half / (i + 1)
-        return min(1.0, total)
-    total, term = math.erfc(math.sqrt(half)), math.exp(-half) * math.sqrt(half / math.pi) * 2.0
-    for i in range(1, (freedom + 1) // 2):
-        total += term
-        term *= half / (i + 0.5)
-    return min(1.0, total)
-
-
-def _kolmogorov_tail(gap: float, n_ref: float, n_cur: float) -> float:
-    """Asymptotic two-sample tail probability of the largest gap."""
-    size = math.sqrt(n_ref * n_cur / (n_ref + n_cur))
-    x = (size + 0.12 + 0.11 / size) * gap
-    if x < 0.2:
-        return 1.0
-    return max(0.0, min(1.0, 2.0 * sum((-1) ** (k - 1) * math.exp(-2.0 * k * k * x * x) for k in range(1, 101))))
-
-
-def _tail_probabilities(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """p-values of a handful of per-column statistics."""
-    for batch in batches:
-        tests = {
-            "K-S p_value": lambda r: _kolmogorov_tail(r.statistic, r.n_ref, r.n_cur),
-            "chi-square p_value": lambda r: _chi_square_tail(r.statistic, int(r.freedom)),
-            "Z-test p_value": lambda r: math.erfc(abs(r.statistic) / math.sqrt(2.0)),
-        }
-        batch["metric_value"] = [float(tests[r.method](r)) for r in batch.itertuples()]
-        yield batch[["column_name", "metric_value", "method"]]
-
-
 def small_sample_statistics(tagged: DataFrame, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
     """Test statistics used when the reference has at most 1000 rows: the largest
     Kolmogorov-Smirnov gap for numbers, chi-square for classes, z for two classes."""
@@ -201,15 +163,16 @@ def small_sample_statistics(tagged: DataFrame, numeric: Sequence[str] = NUMERIC,
         F.max_by("ref", "value").cast("double").alias("top_ref"),
         F.max_by("cur", "value").cast("double").alias("top_cur"),
     )
-    expected = F.col("ref") / F.col("n_ref") * F.col("n_cur")
+    expected = F.try_divide(F.col("ref"), F.col("n_ref")) * F.col("n_cur")
     chi = (
         counts.join(F.broadcast(totals), "column_name")
         .groupBy("column_name")
         .agg(F.sum(F.when(expected > 0, F.pow(F.col("cur") - expected, F.lit(2.0)) / expected)).alias("chi"))
     )
-    pooled = (F.col("top_ref") + F.col("top_cur")) / (F.col("n_ref") + F.col("n_cur"))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n_ref") + 1 / F.col("n_cur")))
-    z = F.coalesce(F.try_divide(F.col("top_ref") / F.col("n_ref") - F.col("top_cur") / F.col("n_cur"), error), F.lit(0.0))
+    pooled = F.try_divide(F.col("top_ref") + F.col("top_cur"), F.col("n_ref") + F.col("n_cur"))
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("n_ref")) + F.try_divide(F.lit(1.0), F.col("n_cur"))))
+    gap = F.try_divide(F.col("top_ref"), F.col("n_ref")) - F.try_divide(F.col("top_cur"), F.col("n_cur"))
+    z = F.coalesce(F.try_divide(gap, error), F.lit(0.0))
     classes = totals.join(chi, "column_name").select(
         "column_name",
         F.when(F.col("classes") > 2, F.coalesce("chi", F.lit(0.0))).otherwise(z).alias("statistic"),
@@ -221,15 +184,27 @@ def small_sample_statistics(tagged: DataFrame, numeric: Sequence[str] = NUMERIC,
     return largest.unionByName(classes)
 
 
+def p_value(method: Column, statistic: Column, n_ref: Column, n_cur: Column, freedom: Column) -> Column:
+    """The p-value of a test statistic; null for an unknown method or a missing statistic."""
+    return (
+        F.when(method == "K-S p_value", kolmogorov_tail(statistic, n_ref, n_cur))
+        .when(method == "chi-square p_value", chi_square_tail(statistic, freedom))
+        .when(method == "Z-test p_value", normal_tail(statistic))
+    )
+
+
 def small_sample_tests(tagged: DataFrame, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
-    """The statistics as p-values.  Only one row per column passes through Python."""
+    """The statistics as p-values, summed as column expressions."""
     statistics = small_sample_statistics(tagged, numeric, categorical)
-    tails = statistics.mapInPandas(_tail_probabilities, "column_name string, metric_value double, method string")
-    return tails.withColumn("threshold", F.lit(P_VALUE_THRESHOLD))
+    value = p_value(*[F.col(c) for c in ("method", "statistic", "n_ref", "n_cur", "freedom")])
+    return statistics.select("column_name", value.alias("metric_value"), "method", F.lit(P_VALUE_THRESHOLD).alias("threshold"))
 
 
 def drift_head_tail(tagged: DataFrame, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
-    """Scores and flags of tagged first/last rows, with the share-of-columns verdict."""
-    flagged = drift_flags(small_sample_tests(tagged, numeric, categorical))
+    """Scores and flags of tagged first/last rows, with the share-of-columns verdict.
+
+    A side without rows is no drift: its Kolmogorov-Smirnov p-value is null, its z is 0.
+    """
+    flagged = durable(drift_flags(small_sample_tests(tagged, numeric, categorical)), "tests")
     share = flagged.agg(F.avg(F.col("drift_detected").cast("int")).alias("share")).scalar()
     return flagged.withColumn("dataset_drift", share >= DRIFT_SHARE)
