@@ -880,11 +880,18 @@ def _(spark, sf_dir):
     return training.evaluate(test, training.train_rf(train), "random_forest")
 
 
+@query("neighbour_shares", "W4 M7 M8")
+def _(spark, sf_dir):
+    rows = fact(spark, sf_dir).select("trans_num", "cc_num", *training.INDEXED_TEXT)
+    graph, names = training.with_neighbourhood(rows, training.INDEXED_TEXT)
+    return graph.unpivot("trans_num", names, "feature", "share")
+
+
 @query("graph_linear", "M7")
 def _(spark, sf_dir):
-    graph, _ = training.with_neighbourhood(training_rows(spark, sf_dir))
+    graph, names = training.with_neighbourhood(training_rows(spark, sf_dir))
     train, test = sampling.stratified_split(durable(graph, "graph"), 0.3)
-    return training.evaluate(test, training.train_graph_lr(train), "graph_linear")
+    return training.evaluate(test, training.train_graph_lr(train, names), "graph_linear")
 
 
 @query("graph_boosted_trees", "M8")

@@ -226,14 +226,34 @@ def _velocity_by_bucket(rows: DataFrame, key: str, row_id: str, bucket_micros: i
     )
 
 
-def neighbour_mean(df: DataFrame, columns: Sequence[str], key: str = "cc_num", hot_rows: int = HOT_ROWS, prefix: str = "nb_") -> DataFrame:
+def share_name(column: str, value: str, prefix: str = "nb_") -> str:
+    """The name of a share of a class; dots would be read as paths."""
+    return f"{prefix}{column}_is_{value.replace('.', '_')}"
+
+
+def neighbour_mean(
+    df: DataFrame,
+    columns: Sequence[str],
+    key: str = "cc_num",
+    hot_rows: int = HOT_ROWS,
+    prefix: str = "nb_",
+    classes: dict[str, Sequence[str]] | None = None,
+) -> DataFrame:
     """Each row with the mean of `columns` over all rows of its card, itself included.
 
     This is the row-normalised same-card adjacency times the feature matrix, without
-    the matrix: one aggregate per card, joined back.
+    the matrix: one aggregate per card, joined back.  `classes` names text columns with their
+    values: the mean of such a column's one-hot vector is the share of each value among the card's rows.
+    A missing class counts as `unknown`; a value not listed has no share.
     """
+    shares = [
+        F.avg((F.coalesce(F.col(c).cast("string"), F.lit("unknown")) == value).cast("double")).alias(share_name(c, value, prefix))
+        for c, values in (classes or {}).items()
+        for value in values
+    ]
     per_card = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("_card_rows"),
         *[F.avg(F.col(c).cast("double")).alias(f"{prefix}{c}") for c in columns],
+        *shares,
     )
     return attach_per_key(df, per_card, key, "_card_rows", hot_rows).drop("_card_rows")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cardwatch import functions as fn
 from cardwatch.operators import features as ft
 from cardwatch.operators.filters import first_days, outlier_filter
-from cardwatch.operators.history import neighbour_mean
+from cardwatch.operators.history import neighbour_mean, share_name
 from cardwatch.operators.metrics import classification_metrics, confusion_matrix, roc_auc
 from cardwatch.operators.sampling import (
     KEY,
@@ -34,6 +34,8 @@ from cardwatch.session import durable, scratch_path
 LABEL, WEIGHT = "is_fraud", "row_weight"
 INDEXED_TEXT = ["category", "gender"]
 HASH_WIDTH = 1 << 10
+# An indexed text column has at most so many values; each becomes a column of its own.
+MOST_CLASSES = 1000
 # Trees, depth and learning rate every comparison uses.
 TREES, DEPTH, RATE = 100, 6, 0.1
 
@@ -160,20 +162,43 @@ def train_rf(df: DataFrame, columns: Sequence[str] = ft.MODEL_FEATURES, trees: i
     return _fit(df, columns, learner)
 
 
+def class_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """The values of indexed text columns, sorted; `unknown` for a missing one.
+
+    One pass whatever the number of columns.  More than MOST_CLASSES values is an error: such a column has to be hashed.
+    """
+    if not columns:
+        return {}
+    long = df.select(*[model_input(c) for c in columns]).unpivot([], list(columns), "column_name", "value").distinct()
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for row in long.limit(MOST_CLASSES * len(columns) + 1).collect():
+        found[row["column_name"]].append(row["value"])
+    for c, values in found.items():
+        if len(values) > MOST_CLASSES:
+            raise ValueError(f"{c} has more than {MOST_CLASSES} values")
+    return {c: sorted(values) for c, values in found.items()}
+
+
 def with_neighbourhood(df: DataFrame, columns: Sequence[str] = ft.MODEL_FEATURES_NO_CITY) -> tuple[DataFrame, list[str]]:
-    """(rows with the same-card means of the numeric features, the names of those means)."""
-    numbers = [c for c in columns if c not in INDEXED_TEXT and c not in ft.UNBOUNDED_TEXT]
-    return neighbour_mean(df, numbers), [f"nb_{c}" for c in numbers]
+    """(rows with the same-card means of the encoded features, the names of those means).
 
+    Numbers give their mean, indexed text the share of each of its values; hashed text is left out.
+    """
+    indexed = [c for c in columns if c in INDEXED_TEXT]
+    numbers = [c for c in columns if c not in indexed and c not in ft.UNBOUNDED_TEXT]
+    classes = class_values(df, indexed)
+    names = [f"nb_{c}" for c in numbers] + [share_name(c, v) for c, values in classes.items() for v in values]
+    return neighbour_mean(df, numbers, classes=classes), names
 
-def train_graph_lr(df: DataFrame, columns: Sequence[str] = ft.MODEL_FEATURES_NO_CITY, iterations: int = 100) -> Model:
+
+def train_graph_lr(df: DataFrame, columns: Sequence[str] | None = None, iterations: int = 100) -> Model:
     """Two propagation steps over the same-card graph, then a linear classifier.
 
     Averaging twice over one card equals averaging once: the card mean is constant
-    within the card.  `df` must already carry the means of `with_neighbourhood`.
+    within the card.  `df` must already carry the means of `with_neighbourhood`;
+    `columns` are those that are used, all of them by default.
     """
-    means = [c for c in df.columns if c.startswith("nb_")]
-    return train_lr(df, [c for c in columns if c in INDEXED_TEXT] + means, iterations)
+    return train_lr(df, list(columns) if columns else [c for c in df.columns if c.startswith("nb_")], iterations)
 
 
 def train_graph_gbt(df: DataFrame, columns: Sequence[str] = ft.MODEL_FEATURES_NO_CITY, **params) -> Model:
@@ -234,12 +259,12 @@ def sampling_sweep(
 ) -> DataFrame:
     """Four model kinds at each fraud ratio, and boosted trees on 1:1 under- and oversampling."""
     columns = ft.MODEL_FEATURES_NO_CITY
-    graph, _ = with_neighbourhood(outlier_filter(ft.engineered(df)), columns)
+    graph, means = with_neighbourhood(outlier_filter(ft.engineered(df)), columns)
     train, test = (durable(part, "split") for part in stratified_split(graph, test_share))
     kinds: dict[str, Callable[[DataFrame], Model]] = {
         "BoostedTrees": lambda rows: train_gbt(rows, columns, **params),
         "BalancedTrees": lambda rows: train_gbt(rows, columns, balanced=True, **params),
-        "GraphLinear": lambda rows: train_graph_lr(rows, columns),
+        "GraphLinear": lambda rows: train_graph_lr(rows, means),
         "GraphTrees": lambda rows: train_graph_gbt(rows, columns, **params),
     }
     cases = [

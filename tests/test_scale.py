@@ -1,9 +1,10 @@
 """The ways taken only for hot keys and very large value sets give the plain answers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cardwatch.operators import drift, history, hotkeys, ordered, rules, sampling
-from cardwatch.plans import explain
+from cardwatch.plans import explain, training
 from cardwatch.session import durable, scratch_path
 from cardwatch.sources import files, fixture
 
@@ -65,6 +66,25 @@ def test_neighbour_mean_of_hot_cards(fact):
     assert rows_of(plain.select(*rounded)) == rows_of(hot.select(*rounded))
 
 
+def test_neighbour_shares(spark):
+    rows = [(1, 7, "a.b"), (2, 7, "a.b"), (3, 7, None), (4, 8, "c"), (5, None, "c"), (6, None, "a.b")]
+    df = spark.createDataFrame([(*r, "F") for r in rows], "trans_num long, cc_num long, category string, gender string")
+    graph, names = training.with_neighbourhood(df, ["category", "gender"])
+    assert names == ["nb_category_is_a_b", "nb_category_is_c", "nb_category_is_unknown", "nb_gender_is_F"]
+    got = {r.trans_num: tuple(round(r[n], 6) for n in names) for r in graph.collect()}
+    card = (0.666667, 0.0, 0.333333, 1.0)
+    assert got == {1: card, 2: card, 3: card, 4: (0.0, 1.0, 0.0, 1.0), 5: (0.5, 0.5, 0.0, 1.0), 6: (0.5, 0.5, 0.0, 1.0)}
+    hot = history.neighbour_mean(df, [], hot_rows=1, classes={"category": ["a.b", "c", "unknown"], "gender": ["F"]})
+    assert {r.trans_num: tuple(round(r[n], 6) for n in names) for r in hot.collect()} == got
+
+
+def test_a_column_of_too_many_classes_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(training, "MOST_CLASSES", 3)
+    df = spark.range(50).select(F.lit("F").alias("gender"), F.col("id").cast("string").alias("category"))
+    with pytest.raises(ValueError):
+        training.class_values(df, ["category", "gender"])
+
+
 def test_running_totals_in_ranges(fact):
     fact = fact.withColumn("category", F.nullif("category", F.lit("click")))
     hist = fact.groupBy("category", F.col("amt").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
