@@ -3,8 +3,9 @@
 Each node is split along the dimension in which its rows are spread widest, at the weighted
 median (or the share of leaves that goes left), until a node is one shard.  A median is found
 digit by digit: rows are summed per digit, and only the digit in which the target falls is
-looked at further.  Rows equal in the dimension are ordered by text, then by id, so that a hot
-value can be split and copies stay together wherever the split allows.
+looked at further.  Equal texts take one position in every dimension, the smallest of any of
+them, and rows of one position are ordered by text, then by row: copies are neighbours wherever the
+tree cuts, a hot value or a hot text can still be split, and a cut parts the copies of the text it falls in alone.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardwatch.llm.common import whole_text
+from cardwatch.operators.hotkeys import attach_per_key
 from cardwatch.session import durable
 
 # bits of a row's place along a dimension: value, then text, then row; read in digits from the top
-_VALUE, _TEXT, _ROW = 24, 16, 23
+_VALUE, _TEXT, _ROW = 20, 22, 21
 _SHIFTS = (47, 31, 15, 0)
 ROWS_PER_BLOCK = 100_000
+# a text of more rows takes its position by broadcast
+HOT_TEXT_ROWS = 10_000
 
 
 def _bits(value: Column, bits: int) -> Column:
@@ -27,7 +31,7 @@ def _bits(value: Column, bits: int) -> Column:
 
 
 def _grid(df: DataFrame, dims: list[str]) -> dict[str, Column]:
-    """Position 0 to 2**24 - 1 of each dimension: numbers by their range, anything else by hash; null is 0."""
+    """Position 0 to 2**20 - 1 of each dimension: numbers by their range, anything else by hash; null is 0."""
     numeric = [c for c in dims if dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint", "float", "double")]
     ends = df.agg(F.lit(0), *[f(F.col(c).cast("double")).alias(f"{f.__name__}_{c}") for c in numeric for f in (F.min, F.max)]).first()
     grid = {}
@@ -81,26 +85,30 @@ def kd_shards(df: DataFrame, shards: int, dims: list[str], text: str = "text", k
     """One row per row of `df`: doc_id, size, text_crc32, shard (0 to shards - 1), slot.
 
     `size` is the UTF-8 bytes of the text (null: none) plus `overhead`; shards get sizes near equal: a
-    split is off by less than a row.  Null dimension values lie before all others; rows equal in
+    split is off by less than a row.  Equal texts stay in one shard but for those in which a cut falls,
+    at most about one a cut.  Null dimension values lie before all others; rows equal in
     everything are told apart by a row number.  `slot` numbers a shard's rows from 0 without gaps.
-    Other columns are left out.  Per level: one aggregate for the spreads and at most four for the
+    Other columns are left out.  Once: the positions of equal texts, an aggregate and a join of narrow rows by
+    text hash, hot texts by broadcast.  Per level: one aggregate for the spreads and at most four for the
     medians, over narrow rows; the driver sees one row per node.
     """
     whole = whole_text(text)
     grid = _grid(df, dims)
-    text_bits = _bits(F.xxhash64(whole), _TEXT)
     rows = df.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(whole) + overhead).cast("long").alias("size"),
         F.crc32(whole).alias("text_crc32"),
-        text_bits.alias("text_bits"),
+        F.xxhash64(whole).alias("text_hash"),
         F.monotonically_increasing_id().alias("row"),
         *[place.alias(f"pos_{c}") for c, place in grid.items()],
     )
     rows = durable(rows, "shard-rows")
+    positions = [f"pos_{c}" for c in dims]
+    of_text = rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), *[F.min(c).alias(c) for c in positions])
+    rows = attach_per_key(rows.drop(*positions), of_text, "text_hash", "copies", HOT_TEXT_ROWS)
     row_bits = _bits(F.xxhash64("doc_id", "row"), _ROW)
-    rows = rows.withColumns({f"at_{c}": F.shiftleft(f"pos_{c}", _TEXT + _ROW) + F.shiftleft("text_bits", _ROW) + row_bits for c in dims})
-    rows = rows.drop(*[f"pos_{c}" for c in dims], "text_bits").withColumn("node", F.lit(0))
+    rows = rows.withColumns({f"at_{c}": F.shiftleft(f"pos_{c}", _TEXT + _ROW) + F.shiftleft(_bits(F.col("text_hash"), _TEXT), _ROW) + row_bits for c in dims})
+    rows = durable(rows.drop(*positions, "text_hash", "copies").withColumn("node", F.lit(0)), "shard-places")
     leaves = {0: (0, shards)}
     next_node = 1
     while wide := {n: span for n, span in leaves.items() if span[1] - span[0] > 1}:

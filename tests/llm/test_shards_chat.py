@@ -26,6 +26,32 @@ def test_op6(spark):
     assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == want and len(rows) == len(want)
     sizes, largest = shard_bytes(rows, 24), max(s for s, _ in want.values())
     assert max(sizes) - min(sizes) <= 2 * largest
+    assert torn_texts(rows, 24) <= 23
+
+
+def torn_texts(rows, n):
+    """Texts in more than one shard, of those that are smaller than a shard."""
+    held, sizes = defaultdict(set), defaultdict(int)
+    for r in rows:
+        held[r.text_crc32, r.size].add(r.shard)
+        sizes[r.text_crc32, r.size] += r.size
+    return sum(len(s) > 1 for t, s in held.items() if sizes[t] < sum(sizes.values()) / n)
+
+
+def test_copies_stay_together(spark):
+    """3,000 texts of two to four copies each over all dimensions, and a text that holds a third of all rows."""
+    copies = spark.range(3_000).select(F.explode(F.sequence(F.lit(0), F.col("id") % 3 + 1)).alias("copy"), F.col("id").alias("nr"))
+    hot = spark.range(4_500).select(F.col("id").alias("copy"), F.lit(-1).alias("nr"))
+    docs = copies.unionByName(hot).select(
+        F.monotonically_increasing_id().alias("doc_id"),
+        F.concat(F.lit("text "), F.col("nr").cast("string")).alias("text"),
+        F.concat(F.lit("s"), (F.col("copy") % 7).cast("string")).alias("source"),
+        (F.col("copy") * 13 % 11).alias("n"),
+    )
+    rows = shards.kd_shards(docs, 9, ["doc_id", "source", "n"]).collect()
+    sizes = shard_bytes(rows, 9)
+    assert len(rows) == docs.count() and max(sizes) - min(sizes) <= 5 * 17
+    assert torn_texts(rows, 9) <= 8
 
 
 def test_hot_values_are_split(spark):
