@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cardwatch.functions import tails
 from cardwatch.operators import alerts, drift, features as ft, filters, history, metrics, rules
 from cardwatch.plans import explain, reports, training, warehouse
 from cardwatch.schema import RAW_TRANSACTION, RULES
@@ -139,11 +140,14 @@ def test_js_and_tail_probabilities(spark):
     expected = math.sqrt(sum(x * math.log(x / m) for side in (p, q) for x, m in zip(side, middle) if x > 0) / 2)
     assert abs(drift.js_distance(tagged, ["c"]).first()["metric_value"] - expected) < 1e-12
     # published quantiles of the chi-square and Kolmogorov distributions
-    assert abs(drift._chi_square_tail(3.841458820694124, 1) - 0.05) < 1e-9
-    assert abs(drift._chi_square_tail(7.814727903251179, 3) - 0.05) < 1e-9
-    assert abs(drift._chi_square_tail(9.487729036781154, 4) - 0.05) < 1e-9
-    assert drift._kolmogorov_tail(0.0, 100, 100) == 1.0
-    assert 0.04 < drift._kolmogorov_tail(1.36 / math.sqrt(500), 1000, 1000) < 0.06
+    def value(tail, *numbers):
+        return spark.range(1).select(tail(*[F.lit(x) for x in numbers]).alias("p")).first()["p"]
+
+    assert abs(value(tails.chi_square_tail, 3.841458820694124, 1) - 0.05) < 1e-9
+    assert abs(value(tails.chi_square_tail, 7.814727903251179, 3) - 0.05) < 1e-9
+    assert abs(value(tails.chi_square_tail, 9.487729036781154, 4) - 0.05) < 1e-9
+    assert value(tails.kolmogorov_tail, 0.0, 100.0, 100.0) == 1.0
+    assert 0.04 < value(tails.kolmogorov_tail, 1.36 / math.sqrt(500), 1000.0, 1000.0) < 0.06
 
 
 def test_half_of_the_columns_is_no_drift(spark):
