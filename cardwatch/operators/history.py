@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardwatch.functions import epoch_micros
-from cardwatch.operators.hotkeys import HOT_ROWS, attach_lookup, attach_per_key, has_key_above, split_hot
+from cardwatch.operators.hotkeys import HOT_ROWS, attach_lookup, attach_per_key, split_above, split_hot
+from cardwatch.operators.ranges import RANGE_ROWS, in_ranges, with_last, with_running
 from cardwatch.session import durable
 
 HOUR = 3_600_000_000
@@ -64,12 +65,13 @@ def enrich_as_of(
     tie: str = "trans_num",
     ttl_days: int = FEATURE_TTL_DAYS,
     hot_rows: int = HOT_ROWS,
-    bucket_micros: int = HOUR,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Request rows with the features known at the request time (not after it).
 
     Requests and feature rows are laid on one time line per card and the last
-    feature row is carried forward, so no request/feature pairs are formed.
+    feature row is carried forward, so no request/feature pairs are formed.  The line of a hot
+    card is cut where its rows are, into ranges of about `range_rows` rows, so a burst is cut as well.
     Requests without a card get NULLs.
     """
     wanted = list(wanted)
@@ -103,7 +105,8 @@ def enrich_as_of(
     per_card = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     answered = cold.withColumn("_last", F.last("_known", ignorenulls=True).over(per_card))
     if hot is not None:
-        answered = answered.unionByName(_carried_by_bucket(hot, key, order, bucket_micros).select(*answered.columns))
+        line = in_ranges(hot, [key, *order], hot.columns, range_rows, "time-line")
+        answered = answered.unionByName(with_last(line, "_known", "_last", [key]).select(*answered.columns))
     alive = F.col("_last.since") >= F.col(f"_request.{request_time}") - F.expr(f"INTERVAL {int(ttl_days)} DAYS")
     found = answered.filter("_kind = 1").select(
         "_request.*", *[F.when(alive, F.col(f"_last.{c}")).alias(c) for c in wanted]
@@ -111,24 +114,6 @@ def enrich_as_of(
     return found.unionByName(without_card)
 
 
-def _carried_by_bucket(hot: DataFrame, key: str, order: list[str], bucket_micros: int) -> DataFrame:
-    """Last feature row at or before each point: inside its time bucket, else from the
-    closing state of the buckets before."""
-    hot = hot.withColumn("_bucket", F.floor(F.col("_at") / bucket_micros))
-    in_bucket = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # one row per card and bucket: the length of the time line bounds the next window
-    per_bucket = hot.groupBy(key, "_bucket").agg(
-        F.max_by("_known", F.when(F.col("_known").isNotNull(), F.struct(*order))).alias("_closing")
-    )
-    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    opening = per_bucket.select(key, "_bucket", F.last("_closing", ignorenulls=True).over(earlier).alias("_opening"))
-    return (
-        hot.withColumn("_inside", F.last("_known", ignorenulls=True).over(in_bucket))
-        .join(opening, [key, "_bucket"], "left")
-        .withColumn("_last", F.coalesce("_inside", "_opening"))
-    )
-
-
 # The three sliding features and how far back each looks.
 VELOCITY_WINDOWS = {"count_1h": HOUR, "sum_24h": DAY, "avg_7d": 7 * DAY}
 
@@ -143,42 +128,43 @@ def velocity_features(
     ts: str = "trans_date_trans_time",
     amount: str = "amt",
     frame_rows: int = FRAME_ROWS,
-    bucket_micros: int = HOUR,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Transactions in the last hour, spend in the last 24 h and mean spend over 7 days.
 
     Each window holds the row itself and everything of the card back to exactly its
-    length.  Range frames serve while no card has more than `frame_rows` rows; else all cards use
-    running totals per time bucket, looked up at both ends of each window.  Every row
-    comes back once, whatever its id; a row without a card or a time gets NULLs.
+    length.  Range frames serve the cards of at most `frame_rows` rows.  The others are read off running
+    totals at both ends of each window, over ranges of about `range_rows` marks cut where the rows are, so that
+    neither a card nor an hour of it is one task.  Every row comes back once, whatever its id; a row without a
+    card or a time gets NULLs.
     """
-    rows = df.withColumns({"_at": epoch_micros(F.col(ts)), "_amt": F.col(amount).cast("decimal(20,2)")})
-    placed = F.col(key).isNotNull() & F.col("_at").isNotNull()
+    rows = df.select(F.struct(*df.columns).alias("_kept"), F.col(key).alias("_key"), epoch_micros(F.col(ts)).alias("_at"), F.col(amount).cast("decimal(20,2)").alias("_amt"))
+    placed = F.col("_key").isNotNull() & F.col("_at").isNotNull()
     unplaced = rows.filter(~placed).select(
-        *df.columns,
+        "_kept.*",
         F.lit(None).cast("long").alias("count_1h"),
         F.lit(None).cast("decimal(30,2)").alias("sum_24h"),
         F.lit(None).cast("double").alias("avg_7d"),
     )
-    rows = rows.filter(placed)
-    if has_key_above(rows, key, frame_rows):
-        numbered = durable(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        totals = _velocity_by_bucket(numbered.select(key, "_row", "_at", "_amt"), key, "_row", bucket_micros)
-        return numbered.join(totals, "_row").select(*df.columns, *VELOCITY_WINDOWS).unionByName(unplaced)
+    hot, cold = split_above(rows.filter(placed), "_key", frame_rows)
 
     def sliding(width: int) -> Window:
-        return Window.partitionBy(key).orderBy("_at").rangeBetween(-width, 0)
+        return Window.partitionBy("_key").orderBy("_at").rangeBetween(-width, 0)
 
     hour, day, week = (sliding(VELOCITY_WINDOWS[n]) for n in VELOCITY_WINDOWS)
-    return rows.select(
-        *df.columns,
+    found = cold.select(
+        "_kept.*",
         F.count(F.lit(1)).over(hour).alias("count_1h"),
         F.sum("_amt").over(day).alias("sum_24h"),
         (F.sum("_amt").over(week).cast("double") / F.count("_amt").over(week)).alias("avg_7d"),
     ).unionByName(unplaced)
+    return found if hot is None else found.unionByName(_velocity_by_range(hot, range_rows))
 
 
-def _velocity_by_bucket(rows: DataFrame, key: str, row_id: str, bucket_micros: int) -> DataFrame:
+def _velocity_by_range(rows: DataFrame, range_rows: int) -> DataFrame:
+    """The features of rows (_kept, _key, _at, _amt) from running totals; the end of its windows carries the row."""
+    # numbered when stored, so that the marks of a row keep its number if a task is run again
+    numbered = durable(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     # marks on the card's time line: 0 = start of a window, 1 = the payment, 2 = its end
     marks = F.array(
         *[
@@ -188,42 +174,33 @@ def _velocity_by_bucket(rows: DataFrame, key: str, row_id: str, bucket_micros: i
         F.struct(F.col("_at").alias("at"), F.lit(1).alias("kind"), F.lit("payment").alias("mark")),
         F.struct(F.col("_at").alias("at"), F.lit(2).alias("kind"), F.lit("end").alias("mark")),
     )
-    line = rows.select(key, row_id, "_amt", F.explode(marks).alias("m")).select(
-        key,
-        row_id,
+    line = numbered.withColumn("m", F.explode(marks)).select(
+        "_key",
+        "_row",
         F.col("m.at").alias("at"),
         F.col("m.kind").alias("kind"),
         F.col("m.mark").alias("mark"),
-        F.when(F.col("m.kind") == 1, F.lit(1)).otherwise(F.lit(0)).alias("one"),
-        F.when((F.col("m.kind") == 1) & F.col("_amt").isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("paid"),
-        F.when(F.col("m.kind") == 1, F.coalesce(F.col("_amt"), F.lit(0))).otherwise(F.lit(0)).cast("decimal(20,2)").alias("amt"),
-        F.floor(F.col("m.at") / bucket_micros).alias("bucket"),
-    )
-    measures = ["one", "paid", "amt"]
-    per_bucket = line.groupBy(key, "bucket").agg(*[F.sum(m).alias(m) for m in measures])
-    earlier = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    opening = per_bucket.select(
-        key, "bucket", *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"open_{m}") for m in measures]
-    )
-    inside = Window.partitionBy(key, "bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    totals = (
-        line.select(key, "bucket", row_id, "kind", "mark", *[F.sum(m).over(inside).alias(m) for m in measures])
-        .filter("kind <> 1")
-        .join(opening, [key, "bucket"])
-        .select(row_id, "mark", *[(F.col(m) + F.col(f"open_{m}")).alias(m) for m in measures])
+        F.when(F.col("m.kind") == 1, F.col("_amt")).alias("amt"),
+        F.when(F.col("m.kind") == 2, F.col("_kept")).alias("_kept"),
     )
+    payment = F.when(F.col("kind") == 1, F.lit(1)).otherwise(F.lit(0))
+    sums = {"n_one": payment, "n_paid": F.when(F.col("amt").isNotNull(), F.lit(1)).otherwise(F.lit(0)), "n_amt": F.coalesce("amt", F.lit(0).cast("decimal(20,2)"))}
+    placed = in_ranges(line, ["_key", "at", "kind", "_row"], ["_key", "_row", "kind", "mark", "amt", "_kept"], range_rows, "marks")
+    totals = with_running(placed, sums, ["_key"]).filter("kind <> 1")
 
     def read(mark: str, measure: str) -> Column:
-        return F.max(F.when(F.col("mark") == mark, F.col(measure)))
+        return F.max(F.when(F.col("mark") == mark, F.col(f"n_{measure}")))
 
     def gained(mark: str, measure: str) -> Column:
         return read("end", measure) - read(mark, measure)
 
-    return totals.groupBy(row_id).agg(
+    per_row = totals.groupBy("_row").agg(
+        F.first("_kept", ignorenulls=True).alias("_kept"),
         gained("count_1h", "one").alias("count_1h"),
-        F.when(gained("sum_24h", "paid") > 0, gained("sum_24h", "amt")).alias("sum_24h"),
+        F.when(gained("sum_24h", "paid") > 0, gained("sum_24h", "amt")).cast("decimal(30,2)").alias("sum_24h"),
         (gained("avg_7d", "amt").cast("double") / F.nullif(gained("avg_7d", "paid"), F.lit(0))).alias("avg_7d"),
     )
+    return per_row.select("_kept.*", *VELOCITY_WINDOWS)
 
 
 def share_name(column: str, value: str, prefix: str = "nb_") -> str:

@@ -36,9 +36,17 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | N
     return None if hot.isEmpty() else F.broadcast(hot)
 
 
-def has_key_above(df: DataFrame, key: str, rows: int) -> bool:
-    """Whether a key has more than so many rows; one count over the key column."""
-    return not df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows")).filter(F.col("key_rows") > rows).isEmpty()
+def split_above(df: DataFrame, key: str, rows: int) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of keys with more than `rows` rows or None, all other rows, NULL keys among them).
+
+    Such keys may be many, so they are a stored table whose size decides whether it is broadcast.
+    One count over the key column.
+    """
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
+    large = durable(sizes.filter(F.col("key_rows") > rows).select(key), "large-keys")
+    if large.isEmpty():
+        return None, df
+    return df.join(large, key, "left_semi").select(*df.columns), df.join(large, key, "left_anti").select(*df.columns)
 
 
 def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame | None, DataFrame]:

@@ -76,3 +76,21 @@ def with_running(placed: DataFrame, sums: Mapping[str, Column], group: Sequence[
         *[(F.col(f"_local_{name}") + F.coalesce(f"_carry_{name}", F.lit(0))).alias(name) for name in sums],
         *[F.when(F.col(PLACE) == F.col("_last"), F.col(f"_next_{name}")).otherwise(F.col(f"_inside_{name}")).alias(name) for name in following],
     )
+
+
+def with_last(placed: DataFrame, value: str, name: str, group: Sequence[str]) -> DataFrame:
+    """Adds as `name` the last value of `value` that is not null, up to and with the row, in the order of `in_ranges`, per `group`.
+
+    What a range cannot answer itself it takes from the ranges before: at most one row a range.
+    """
+    group = list(group)
+    present = F.when(F.col(value).isNotNull(), F.col(PLACE))
+    per_range = placed.groupBy(*group, PART).agg(F.max_by(value, present).alias("_closing"))
+    earlier = Window.partitionBy(*group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    opening = per_range.select(
+        *[F.col(c).alias(f"_of_{c}") for c in (*group, PART)], F.last("_closing", ignorenulls=True).over(earlier).alias("_opening")
+    ).filter(F.col("_opening").isNotNull())
+    so_far = Window.partitionBy(PART, *group).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn("_inside", F.last(value, ignorenulls=True).over(so_far))
+    joined = local.join(F.broadcast(opening), _same(group, "_of_"), "left")
+    return joined.select(*placed.columns, F.coalesce("_inside", "_opening").alias(name))

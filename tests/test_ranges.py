@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from cardwatch.operators.ranges import PART, in_ranges, with_running
+from cardwatch.operators.ranges import PART, in_ranges, with_last, with_running
 
 
 def plain(df, sums, group):
@@ -33,6 +33,18 @@ def test_next_value(spark, group):
     assert sorted(map(tuple, with_running(placed, {"n": F.lit(1)}, group, {"after": "v"}).select("id", "after").collect())) == want
 
 
+@pytest.mark.parametrize("range_rows", [41, 5_000])
+def test_last_value(spark, range_rows):
+    # nulls over many ranges, and at the beginning of a key
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("key"), F.when((F.col("id") > 20) & (F.col("id") % 151 < 3), F.col("id") * 2).alias("v"))
+    placed = in_ranges(df, ["key", "id"], ["id", "key", "v"], range_rows)
+    window = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    want = sorted(map(tuple, df.select("id", F.coalesce(F.last("v", ignorenulls=True).over(window), F.lit(-1))).collect()))
+    found = with_last(placed, "v", "last", ["key"]).select("id", F.coalesce("last", F.lit(-1)))
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_no_rows(spark):
     placed = in_ranges(spark.createDataFrame([], "key int, t int"), ["key", "t"], ["key", "t"])
     assert with_running(placed, {"n": F.lit(1)}, ["key"]).collect() == []
+    assert with_last(placed, "t", "last", ["key"]).collect() == []

@@ -23,7 +23,7 @@ def test_velocity_of_hot_cards(fact):
     rows = skewed(fact).select("trans_num", "cc_num", "trans_date_trans_time", "amt")
     plain = history.velocity_features(rows)
     hot = history.velocity_features(rows, frame_rows=100)
-    again = history.velocity_features(rows, frame_rows=0, bucket_micros=history.DAY)
+    again = history.velocity_features(rows, frame_rows=0, range_rows=500)
     show = ["trans_num", "count_1h", "sum_24h", F.round("avg_7d", 9).alias("avg_7d")]
     assert rows_of(plain.select(*show)) == rows_of(hot.select(*show)) == rows_of(again.select(*show))
 
@@ -46,7 +46,29 @@ def test_as_of_lookup_of_hot_cards(fact):
     def answer(**options):
         return rows_of(history.enrich_as_of(requests, features, "trans_num", "asked", ("amt", "job"), ttl_days=3, **options))
 
-    assert answer() == answer(hot_rows=100) == answer(hot_rows=0, bucket_micros=history.DAY)
+    assert answer() == answer(hot_rows=100) == answer(hot_rows=0, range_rows=50)
+
+
+def test_a_burst_of_one_card_is_cut(spark):
+    """All payments of a card within one hour, many at one instant; the other cards keep the plain window."""
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 500)")
+    df = spark.range(4_000).select(
+        F.col("id").cast("string").alias("trans_num"),
+        F.when(F.col("id") < 3_000, 1).when(F.col("id") % 50 > 0, F.col("id")).alias("cc_num"),
+        at.alias("trans_date_trans_time"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 90).alias("amt"),
+    )
+    show = ["trans_num", "count_1h", "sum_24h", F.round("avg_7d", 9).alias("avg_7d")]
+    plain = rows_of(history.velocity_features(df).select(*show))
+    assert len(plain) == 4_000
+    assert plain == rows_of(history.velocity_features(df, frame_rows=100, range_rows=700).select(*show))
+    known = df.filter("amt % 3 = 0").withColumn("logged_at", F.col("trans_date_trans_time"))
+    asked = df.select("trans_num", "cc_num", F.col("trans_date_trans_time").alias("asked"))
+
+    def answer(**options):
+        return rows_of(history.enrich_as_of(asked, known, "trans_num", "asked", ("amt",), **options))
+
+    assert answer() == answer(hot_rows=100, range_rows=300)
 
 
 def test_lookup_of_hot_cards(fact):
