@@ -17,6 +17,7 @@ shingles of their prefixes, with length, positional and suffix filters, and veri
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -295,12 +296,28 @@ def _least_overlap(percent: int) -> Column:
     return percent * (F.col("a_size") + F.col("b_size"))
 
 
+def size_band(size: Column) -> Column:
+    """A number that grows with the size: sizes of one band differ by at most a tenth."""
+    return F.floor(F.ln(size) / math.log(1.1)).cast("int")
+
+
+def partner_sizes(size: Column, position: Column, percent: int) -> tuple[Column, Column]:
+    """(smallest, largest) size of a set that a set of this size can link to, given a shared shingle at this position.
+
+    From there on the set has `size - position` shingles, and they must hold the whole overlap: that bounds the largest.
+    """
+    by_place = F.floor(((100 + percent) * (size - position) - percent * size) / percent)
+    return F.ceil(size * percent / 100), F.least(F.floor(size * 100 / percent), by_place)
+
+
 def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the sets (rep, size, alone, shared, bins) that link to another."""
     prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix_length_column(percent) - F.col("alone")))
     entries = sets.select("rep", "size", F.posexplode(prefix).alias("at", "token"), "alone")
     entries = entries.select("token", "rep", "size", (F.col("at") + F.col("alone")).alias("position"))
     groups = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    low, high = partner_sizes(F.col("size").cast("long"), F.col("position"), percent)
+    entries = entries.withColumns({"band": size_band(F.col("size")), "low_band": size_band(low), "high_band": size_band(high)})
     entries = durable(entries.join(groups, "token"), "prefix-entries")
     seen: DataFrame | None = None
     links: DataFrame | None = None
@@ -319,8 +336,11 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
         if most is None:
             break
         open_ = current.join(spans.select("token"), "token")
-        lead = open_.filter(spread * F.col("n") <= leaders).select("token", *side("a"))
-        met = lead.join(open_.select("token", *side("b")), "token").filter("a_component <> b_component")
+        # a leader goes only to the bands of sizes that it can link to, and takes from them only those that can link to it
+        lead = open_.filter(spread * F.col("n") <= leaders).filter("low_band <= high_band")
+        lead = lead.select("token", F.explode(F.sequence("low_band", "high_band")).alias("band"), F.col("band").alias("a_band"), *side("a"))
+        other = open_.select("token", "band", "low_band", "high_band", *side("b"))
+        met = lead.join(other, ["token", "band"]).filter("a_component <> b_component AND a_band BETWEEN low_band AND high_band")
         long_enough = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
         rest = F.least(F.col("a_size") - F.col("a_position"), F.col("b_size") - F.col("b_position"))
         in_place = (100 + percent) * rest >= _least_overlap(percent)

@@ -76,6 +76,43 @@ def test_chains_passages_and_large_groups(spark, monkeypatch):
     assert found(df) == want
 
 
+@pytest.mark.parametrize("percent", [50, 80, 95, 100])
+def test_size_bands_hold_every_partner(spark, percent):
+    """Whatever sizes and positions the length and the positional filter let pass, both sides' bands do as well."""
+    size, place = F.col("size"), F.col("position")
+    sides = spark.range(1, 60).select(F.col("id").alias("size")).withColumn("position", F.explode(F.sequence(F.lit(0), (F.col("size") - 1).cast("int"))))
+    sides = sides.filter(place <= size - F.ceil(size * percent / 100))
+    low, high = jaccard.partner_sizes(size, place, percent)
+    rows = sides.select("size", "position", jaccard.size_band(size), jaccard.size_band(low), jaccard.size_band(high)).collect()
+    pairs = missed = 0
+    for a in rows:
+        for b in rows:
+            rest = min(a[0] - a[1], b[0] - b[1])
+            if 100 * min(a[0], b[0]) >= percent * max(a[0], b[0]) and (100 + percent) * rest >= percent * (a[0] + b[0]):
+                pairs += 1
+                missed += not (a[3] <= b[2] <= a[4] and b[3] <= a[2] <= b[4])
+    assert pairs and missed == 0
+
+
+def test_texts_of_one_passage_are_not_verified(spark, monkeypatch):
+    """600 texts of 56 common shingles and 13 of their own each: none link, and none reach the verification."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, passage + " " + " ".join(f"u{i}x{k}" for k in range(13))) for i in range(600)]
+    docs += [(600 + i, docs[i][1] + " end") for i in range(30)]  # but these copies do
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    judged = []
+    verified = jaccard.verified
+
+    def counted(pairs, *rest):
+        judged.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    rows = jaccard.near_duplicates(df).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i - 600 if i >= 600 else i for i in range(630)}
+    assert sum(judged) <= 60
+
+
 def test_cuckoo_filter_resizes_and_deletes():
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(5_000)]
     bucket = dedup.Bucket(None, {})
