@@ -8,40 +8,19 @@ are enough of them, so that the runs to look through grow with the logarithm of
 
 from __future__ import annotations
 
-import uuid
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cardwatch.sources.files import place_new, read_newest
-
-BUCKETS, MERGED = 256, 8
-EMPTY = {"number": 0, "batches": [], "runs": [], "gone": []}
-
+from cardwatch.sources.levels import MERGED, Levels
 
-def add_batch(ranges: list[list[int]], batch: int) -> list[list[int]]:
-    """Ranges of batch numbers with one more: consecutive numbers take one entry."""
-    merged: list[list[int]] = []
-    for low, high in sorted([*map(list, ranges), [batch, batch]]):
-        if merged and low <= merged[-1][1] + 1:
-            merged[-1][1] = max(merged[-1][1], high)
-        else:
-            merged.append([low, high])
-    return merged
+BUCKETS = 256
 
 
-class KeyIndex:
+class KeyIndex(Levels):
     """The keys of one table; `key` is its column, of any type that can be hashed."""
 
     def __init__(self, spark: SparkSession, folder: str, key: str, buckets: int = BUCKETS, merged: int = MERGED) -> None:
-        self.spark, self.folder, self.key, self.buckets, self.merged = spark, folder.rstrip("/"), key, buckets, merged
-
-    def manifest(self) -> dict:
-        return read_newest(self.spark, f"{self.folder}/manifest") or EMPTY
-
-    def holds_batch(self, batch: int) -> bool:
-        """Whether a batch is committed."""
-        return any(low <= batch <= high for low, high in self.manifest()["batches"])
+        super().__init__(spark, folder, merged)
+        self.key, self.buckets = key, buckets
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
@@ -65,41 +44,9 @@ class KeyIndex:
         return keys.join(self._stored(runs, keys, hit).select(self.key), self.key, "left_semi")
 
     def _write(self, keys: DataFrame) -> str:
-        path = f"runs/{uuid.uuid4().hex}"
+        path = self._new_path()
         placed = keys.select(self.key, self._bucket().alias("bucket"))
         placed = placed.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", self.key)
         # a key is looked for by its hash bucket, then by the least and greatest key and the Bloom filter of a row group
         placed.write.partitionBy("bucket").option(f"parquet.bloom.filter.enabled#{self.key}", "true").parquet(f"{self.folder}/{path}")
         return path
-
-    def _commit(self, manifest: dict, **changes) -> bool:
-        return place_new(self.spark, f"{self.folder}/manifest", manifest["number"] + 1, {**manifest, **changes, "number": manifest["number"] + 1})
-
-    def commit(self, batch: int, keys: DataFrame, seen: dict) -> bool:
-        """Adds the keys of a batch to the manifest `seen`; False if another writer committed meanwhile."""
-        run = {"path": self._write(keys), "level": 0}
-        if not self._commit(seen, batches=add_batch(seen["batches"], batch), runs=[*seen["runs"], run]):
-            return False
-        self.compact(keys)
-        return True
-
-    def compact(self, like: DataFrame) -> None:
-        """Merges the runs of a level that has enough of them; `like` has the key's type.
-
-        Runs that a merge replaces are deleted by the next one, so that readers of the last manifest still find them.
-        """
-        while True:
-            manifest, levels = self.manifest(), defaultdict(list)
-            for run in manifest["runs"]:
-                levels[run["level"]].append(run)
-            full = next((runs for _, runs in sorted(levels.items()) if len(runs) >= self.merged), None)
-            if full is None:
-                return
-            run = {"path": self._write(self._stored(full, like)), "level": full[0]["level"] + 1}
-            left = [r for r in manifest["runs"] if r not in full]
-            if not self._commit(manifest, runs=[*left, run], gone=[r["path"] for r in full]):
-                return  # another writer was faster, and merges in its turn
-            fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-            for path in manifest["gone"]:
-                old = fs.Path(f"{self.folder}/{path}")
-                old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)

@@ -21,7 +21,9 @@ from cardwatch.plans.champions import Registry
 from cardwatch.plans.training import score
 from cardwatch.plans.warehouse import stg_transactions
 from cardwatch.schema import RAW_FIELDS, RAW_TEXT
-from cardwatch.sources.files import TIMESTAMP_TEXT, path_exists, place_new, read_newest, typed
+from cardwatch.sources.files import TIMESTAMP_TEXT, place_new, read_newest, typed
+from cardwatch.sources.key_index import KeyIndex
+from cardwatch.sources.levels import LevelledTable
 from cardwatch.sources.sinks import append_if_absent, file_ledger, insert_if_absent
 
 
@@ -182,36 +184,53 @@ def merchant_days(scored: DataFrame) -> DataFrame:
     )
 
 
+def _sums(shares: DataFrame) -> DataFrame:
+    return shares.groupBy("transaction_date", "merchant_name").agg(*[F.sum(name).cast(kind).alias(name) for name, kind in DAILY_SUMS.items()])
+
+
+def _daily_table(spark: SparkSession, path: str) -> LevelledTable:
+    return LevelledTable(spark, path, DAILY_SHARE, _sums)
+
+
 def live_daily_metrics(scored_stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The merchant-day mart as a stream: each micro-batch leaves its share in a folder that a retry overwrites.
+    """The merchant-day mart as a stream: each micro-batch commits its share, once; shares of several batches are summed
+    level by level, so the folders to read grow with the logarithm of the batches.
 
     No row is too late and no day has to close: `read_daily_metrics` adds up the shares.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        merchant_days(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        _daily_table(batch.sparkSession, path).add(batch_id, merchant_days(batch))
 
     return _into_batches(scored_stream, handle, checkpoint)
 
 
 def read_daily_metrics(spark: SparkSession, path: str) -> DataFrame:
     """The mart as of the batches that are done; equals that of all their rows together."""
-    shares = _written(spark, path, DAILY_SHARE)
-    sums = [F.sum(name).cast(kind).alias(name) for name, kind in DAILY_SUMS.items()]
-    return shares.groupBy("transaction_date", "merchant_name").agg(*sums)
+    return _daily_table(spark, path).read()
+
+
+def _alert_table(spark: SparkSession, path: str) -> LevelledTable:
+    return LevelledTable(spark, path, ALERT)
 
 
 def live_alerts(scored_stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Alert payloads as they happen, each transaction once, however late: a batch is compared with the stored keys.
+    """Alert payloads as they happen, each transaction once, however late: a batch is compared with the stored keys
+    in the buckets that its own keys fall in.  One stream writes the table.
 
-    A retried batch replaces its own folder and compares itself only with the others.
+    The rows are committed, then their keys.  A batch that failed in between commits its keys when it is run
+    again; one that is whole changes nothing.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        others = read_alerts(batch.sparkSession, path).filter(F.col("batch_id") != batch_id)
-        payloads = alert_payloads(batch).persist()
-        new = insert_if_absent(payloads, others, arrival=[F.col("alert_ts"), F.col("payload")])
-        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        index, table = KeyIndex(spark, f"{path}/_keys", "trans_num"), _alert_table(spark, path)
+        if index.holds_batch(batch_id):
+            return
+        payloads, seen = alert_payloads(batch).persist(), index.manifest()
+        keys = payloads.select("trans_num").distinct()
+        table.add(batch_id, insert_if_absent(payloads, index.known(keys, seen), arrival=[F.col("alert_ts"), F.col("payload")]))
+        index.commit(batch_id, keys, seen)
         payloads.unpersist()
 
     return _into_batches(scored_stream, handle, checkpoint)
@@ -219,13 +238,8 @@ def live_alerts(scored_stream: DataFrame, path: str, checkpoint: str) -> Streami
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """The alerts written by `live_alerts`; empty when nothing was written yet."""
-    return _written(spark, path, ALERT)
+    return _alert_table(spark, path).read()
 
 
 def _into_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _written(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    schema = f"{schema}, batch_id bigint"
-    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)

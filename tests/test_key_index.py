@@ -4,7 +4,8 @@ from pyspark.sql import Window, functions as F
 
 from cardwatch.session import durable, scratch_path
 from cardwatch.sources import sinks
-from cardwatch.sources.key_index import KeyIndex, add_batch
+from cardwatch.sources.key_index import KeyIndex
+from cardwatch.sources.levels import add_batch
 
 
 def keys(spark, low, high):

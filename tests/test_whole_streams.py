@@ -1,11 +1,15 @@
 """The queue and the live tables hold every row, whatever its day and however late it comes."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from cardwatch.catalog import QUERIES, queries
 from cardwatch.plans import warehouse
 from cardwatch.sources import fixture
+from cardwatch.sources.key_index import KeyIndex
+from cardwatch.sources.levels import LevelledTable
 from cardwatch.streaming import queue
 
 TS = "trans_date_trans_time"
@@ -69,3 +73,39 @@ def test_late_alerts_come_once(spark, fact, late_stream, tmp_path):
 def test_live_query_has_every_day(spark, sf_dir):
     live = QUERIES["live_daily_metrics"](spark, sf_dir)
     assert live.agg(F.sum("total_transactions")).first()[0] == fixture.transactions(spark, sf_dir).count()
+
+
+def test_many_batches_leave_few_folders(spark, tmp_path):
+    """Shares of 30 batches, some run twice: equal sums, and runs by the logarithm of the batches."""
+    table = LevelledTable(spark, str(tmp_path), "k long, n long", lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")), merged=3)
+    assert table.read().count() == 0
+    for batch in range(30):
+        share = spark.range(4).select((F.col("id") % (1 + batch % 4)).alias("k"), F.lit(batch).cast("long").alias("n")).groupBy("k").agg(F.sum("n").alias("n"))
+        table.add(batch, share)
+        if batch % 7 == 0:
+            table.add(batch, share)
+    want = Counter()
+    for batch in range(30):
+        for k in range(4):
+            want[k % (1 + batch % 4)] += batch
+    assert {r.k: r.n for r in table.read().collect()} == {k: n for k, n in want.items()}
+    assert len(table.manifest()["runs"]) <= 8 and table.manifest()["batches"] == [[0, 29]]
+    assert len(list((tmp_path / "runs").iterdir())) <= 12
+
+
+def test_alerts_whose_keys_were_not_committed(spark, fact, late_stream, tmp_path, monkeypatch):
+    """A batch that ends between its rows and its keys is run again: no alert twice, none lost."""
+    commit, ended = KeyIndex.commit, []
+
+    def fails_once(self, batch, *rest):
+        if not ended:
+            ended.append(batch)
+            raise RuntimeError("lost")
+        return commit(self, batch, *rest)
+
+    monkeypatch.setattr(KeyIndex, "commit", fails_once)
+    with pytest.raises(Exception, match="lost"):
+        queue.live_alerts(late_stream, f"{tmp_path}/rows", f"{tmp_path}/checkpoint").awaitTermination()
+    queue.live_alerts(late_stream, f"{tmp_path}/rows", f"{tmp_path}/checkpoint").awaitTermination()
+    alerts = queue.read_alerts(spark, f"{tmp_path}/rows")
+    assert ended and alerts.count() == fact.filter("prediction = 1").count() == alerts.select("trans_num").distinct().count()
