@@ -10,12 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 _local_folder: tempfile.TemporaryDirectory | None = None
 
 
-def build_session(app_name: str = "cardwatch", master: str | None = None, **conf: str) -> SparkSession:
+# bytes of a shuffle partition that AQE aims at, and the partitions that a shuffle starts with at least
+PARTITION_BYTES, LEAST_PARTITIONS = 128 << 20, 200
+
+
+def initial_partitions(input_bytes: int) -> int:
+    """Partitions for a shuffle of the whole input; at most 100,000, as each map task keeps an index of them all."""
+    return min(100_000, max(LEAST_PARTITIONS, -(-input_bytes // PARTITION_BYTES)))
+
+
+def build_session(app_name: str = "cardwatch", master: str | None = None, input_bytes: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library expects.
 
     On a cluster leave `master` to spark-submit.  AQE is what sizes the
     shuffles: it coalesces small ones, splits skewed join partitions and turns a
     join into a broadcast only once the measured size is under the threshold.
+    It only merges partitions, so name the size of the largest table in `input_bytes`: shuffles then start with one
+    partition for each 128 MB of it (100 TB: 100,000 of 1 GB, which spill to disk).  Left out, Spark's number holds.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -23,12 +34,14 @@ def build_session(app_name: str = "cardwatch", master: str | None = None, **conf
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(PARTITION_BYTES))
         .config("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
         # the JVM never compiles methods above 8000 bytes of code: a very wide projection
         # runs faster split up than fused into one interpreted method
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
+    if input_bytes is not None:
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(initial_partitions(input_bytes)))
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

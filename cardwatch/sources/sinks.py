@@ -17,17 +17,22 @@ def _required(batch: DataFrame, key: str) -> Column:
     return F.coalesce(F.col(key), F.raise_error(F.lit(f"a row to insert has no {key}")).cast(batch.schema[key].dataType))
 
 
+def _order(batch: DataFrame, arrival: Sequence[Column]) -> list[Column]:
+    """Who comes first of rows with one key; if nothing says so, the whole row as text, so that a second run decides alike."""
+    return list(arrival) or [F.to_json(F.struct(*batch.columns))]
+
+
 def insert_if_absent(
     batch: DataFrame, target: DataFrame, key: str = "trans_num", arrival: Sequence[Column] = ()
 ) -> DataFrame:
-    """Rows of `batch` to append: new keys only, the first arrival of each.
+    """Rows of `batch` to append: new keys only, the first of each by `arrival`, else by the row's text.
 
     The target is first cut to the keys of the batch.  That semi join needs only the
     key column of the target and, for a batch of ordinary size, no shuffle of it.
     A row without a key is an error, as in a table with a primary key.
     """
     batch = batch.withColumn(key, _required(batch, key))
-    first = first_by_key(batch, key, *(arrival or [F.col(key)]))
+    first = first_by_key(batch, key, *_order(batch, arrival))
     known = target.select(key).join(batch.select(key).distinct(), key, "left_semi")
     return first.join(known, key, "left_anti")
 
@@ -55,10 +60,11 @@ def append_if_absent(
             index.commit(number, earlier.filter(F.col("batch_id") == number).select(key), index.manifest())
     stamped = batch.withColumn("logged_at", logged_at if logged_at is not None else F.current_timestamp().cast("timestamp_ntz"))
     stamped = stamped.withColumn(key, _required(stamped, key))
+    order = _order(batch, arrival)
     while not index.holds_batch(batch_id):
         seen = index.manifest()
         known = index.known(stamped.select(key).distinct(), seen)
-        new = first_by_key(stamped, key, *(arrival or [F.col(key)])).join(known, key, "left_anti")
+        new = first_by_key(stamped, key, *order).join(known, key, "left_anti")
         align_schema(new).write.mode("overwrite").parquet(folder)
         if index.commit(batch_id, stored.parquet(folder).select(key), seen):
             break  # else another batch was committed meanwhile: its keys are looked up too
