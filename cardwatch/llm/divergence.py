@@ -6,23 +6,56 @@ two shares differ by f = floor((p - q)^2 / (p + q)).
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cardwatch.llm.common import whole_text
+from cardwatch.llm.common import give_back, whole_text
 from cardwatch.operators.hotkeys import attach_per_key
 from cardwatch.session import durable
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS = 10
 TOP = 10
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def terms_of(text: Column) -> Column:
-    """The terms of a text, repeated as they are, with A to Z alone in lower case."""
-    plain = F.octet_length(text) == F.char_length(text)  # ASCII alone: lower() changes nothing else
-    lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))
+# TERM byte for byte: a character above \x7F is made of bytes above \x7F, A-Z become a-z, the rest parts terms
+_TERM_BYTES = bytes(b if b > 0x7F else ord(chr(b).lower()) if chr(b).isalpha() else 0x20 for b in range(256))
+# counts that a task holds before it hands them on
+HELD_COUNTS = 250_000
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """The terms of a UTF-8 text, repeated as they are, with A to Z alone in lower case."""
+    return text.translate(_TERM_BYTES).split()
+
+
+def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, n_docs) of the rows of a task; a term has several rows where its counts were handed on."""
+    counts: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+    held = 0
+    for batch in batches:
+        langs, sources = (batch.column(name).to_pylist() for name in ("lang", "source"))
+        for lang, source, text in zip(langs, sources, batch.column("text")):
+            terms, (used, docs) = terms_of(text.as_py()), counts[lang, source]
+            held -= len(used)
+            used.update(terms)
+            docs.update(set(terms))
+            held += len(used)
+            if held >= HELD_COUNTS:
+                yield _counted(counts)
+                counts.clear()
+                held = 0
+    yield _counted(counts)
+    counts.clear()
+    give_back()
+
+
+def _counted(counts: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
+    rows = [(lang, source, term, n, docs[term]) for (lang, source), (used, docs) in counts.items() for term, n in used.items()]
+    kinds = {"lang": pa.string(), "source": pa.string(), "term": pa.binary(), "n": pa.int64(), "n_docs": pa.int64()}
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.record_batch([pa.array(values, kind) for values, kind in zip(columns, kinds.values())], names=list(kinds))
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -41,11 +74,10 @@ def term_counts(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> Data
     A language keeps the terms of at least `least_documents` of its rows; a group has a row for a term
     only where it occurs.  Texts are counted where they lie, before anything is shuffled.
     """
-    found = docs.select("lang", "source", terms_of(F.col("text")).alias("terms"))
-    # behind all terms of a document stand its distinct ones: those count documents
-    each = found.select("lang", "source", F.size("terms").alias("_all"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("_at", "term"))
-    inside = F.col("_at") < F.col("_all")
-    counted = each.groupBy("lang", "source", "term").agg(F.count(F.when(inside, 1)).alias("n"), F.count(F.when(~inside, 1)).alias("n_docs"))
+    texts = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
+    found = texts.mapInArrow(_count_terms, "lang string, source string, term binary, n long, n_docs long")
+    found = found.withColumn("term", F.col("term").cast("string"))
+    counted = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
     whole = Window.partitionBy("lang", "term")  # as many rows as the language has sources
     counted = counted.select("lang", "source", "term", "n", F.sum("n").over(whole).alias("lang_n"), F.sum("n_docs").over(whole).alias("lang_docs"), F.min("source").over(whole).alias("_least"))
     kept = counted.filter(F.col("lang_docs") >= least_documents)

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,22 @@ def test_divergence_with_odd_rows(spark, edge_docs, no_docs):
     assert divergence.source_divergence(no_docs).count() == 0
 
 
+def test_divergence_counts_where_the_texts_lie(spark, monkeypatch):
+    """A document's terms leave its task counted, not one row each; counts handed on early are added up."""
+    text = "Ünï\x00İx \x85\u2028K Straße_日本--a1B\x1c𝒳z\x7f[q]" + " One two ONE" * 500
+    wanted = Counter(re.findall(divergence.TERM, text.translate(LOWER)))
+    assert Counter(t.decode() for t in divergence.terms_of(text.encode())) == wanted
+    every = bytes(range(128)).decode() + "".join(map(chr, range(128, 0x600))) + "a"
+    assert [t.decode() for t in divergence.terms_of(every.encode())] == re.findall(divergence.TERM, every.translate(LOWER))
+    docs = spark.createDataFrame([(text, "en", s) for s in "ababa"], "text string, lang string, source string").coalesce(1)
+    batch = pa.RecordBatch.from_pylist([{"lang": "en", "source": s, "text": text.encode()} for s in "ababa"])
+    assert sum(b.num_rows for b in divergence._count_terms([batch])) == 2 * len(wanted)
+    monkeypatch.setattr(divergence, "HELD_COUNTS", 5)
+    assert sum(b.num_rows for b in divergence._count_terms([batch])) == 5 * len(wanted)
+    found = divergence.source_divergence(docs, 2, 50).select("lang", "source", "part", "item", "value", "rank").collect()
+    assert sorted(map(tuple, found)) == brute_divergence(docs.collect(), 2, 50)
+
+
 def brute_base(text):
     text, out = text or "", []
     assign = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
