@@ -6,7 +6,7 @@ import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.types import StructType
 
 from cardwatch.schema import NUMERIC_TEXT_COLUMNS, RAW_TEXT, RAW_TRANSACTION, RULES
@@ -84,15 +84,30 @@ def typed(text: DataFrame) -> DataFrame:
     return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in RAW_TRANSACTION.fields], *extra)
 
 
+# bytes of rows that a task of `write_day_table` sorts in memory
+TASK_BYTES = 256 << 20
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes that a sort holds for a row: 8 a field and for the row, and what its texts and nested values need."""
+    fixed = (T.NumericType, T.BooleanType, T.DatetimeType)
+    texts = [f.name for f in df.schema.fields if not isinstance(f.dataType, fixed)]
+    lengths = [F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 4 for name in texts]
+    return sum(lengths, F.lit(8 * (len(df.columns) + 4)).cast("bigint"))
+
+
 def write_day_table(df: DataFrame, name: str, path: str, ts: str = "trans_date_trans_time", rows_per_file: int = 5_000_000) -> None:
     """Stores rows as an external table laid out by `event_day`, so that a filter on it reads those days alone.
 
-    Rows are placed by day and time, so a day with very many rows lies in several files, each of a part of the day.  Rows
-    without a time are in the null day.  The table must not exist.
+    Rows are placed by day and time, so a day with very many rows lies in several files, each of a part of the day.  A
+    file has at most about `rows_per_file` rows and TASK_BYTES as they are sorted, so a task's memory does not grow with
+    the table.  Rows of one time, or without one, are spread by a hash; those without are in the null day.  The table must not exist.
     """
     dated = df.withColumn("event_day", F.to_date(ts))
-    files = max(1, -(-df.count() // rows_per_file))
-    placed = dated.repartitionByRange(files, "event_day", ts).sortWithinPartitions("event_day", ts)
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    files = max(1, -(-rows // rows_per_file), -(-(size or 0) // TASK_BYTES))
+    spread = F.xxhash64(*[f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)])
+    placed = dated.repartitionByRange(files, "event_day", ts, spread).sortWithinPartitions("event_day", ts)
     placed.write.partitionBy("event_day").option("path", path).saveAsTable(name)
 
 

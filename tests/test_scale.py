@@ -1,5 +1,7 @@
 """The ways taken only for hot keys and very large value sets give the plain answers."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +240,18 @@ def test_a_table_by_day_is_pruned(spark, fact):
     assert "PartitionFilters: [isnotnull(event_day" in day._jdf.queryExecution().executedPlan().toString()
     assert files.read_with_fallback(spark, name, "/nowhere").count() == fact.count()
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_day_table_task_holds_few_bytes(spark, monkeypatch):
+    """Wide rows are cut by their bytes, also those of one time, and none is lost."""
+    name = f"wide_{uuid.uuid4().hex}"
+    text = F.repeat(F.lit("x"), 1000).alias("note")
+    time = F.when(F.col("id") < 300, F.lit("2024-01-05 10:00:00")).when(F.col("id") < 600, F.lit("2024-01-06 11:00:00")).cast("timestamp_ntz")
+    rows = spark.range(1000).select(F.col("id"), time.alias("trans_date_trans_time"), text, F.array("id").alias("nested"))
+    monkeypatch.setattr(files, "TASK_BYTES", 100_000)
+    files.write_day_table(rows, name, scratch_path(spark, name))
+    held = files.read_table(spark, name).groupBy(F.input_file_name().alias("file"), "event_day").agg(F.count(F.lit(1)).alias("n"))
+    found = held.groupBy("event_day").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("files")).collect()
+    assert sorted(r["n"] for r in found) == [300, 300, 400]
+    assert all(r["files"] >= 3 and r["most"] <= 200 for r in found)
+    spark.sql(f"DROP TABLE {name}")
