@@ -255,3 +255,22 @@ def test_day_table_task_holds_few_bytes(spark, monkeypatch):
     assert sorted(r["n"] for r in found) == [300, 300, 400]
     assert all(r["files"] >= 3 and r["most"] <= 200 for r in found)
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_boosted_trees_leave_out_hash_places_that_do_not_occur(spark):
+    """Same trees, same scores, also of values not seen in training, from a few columns instead of HASH_WIDTH."""
+    rows = spark.range(400).select(
+        F.concat(F.lit("t"), "id").alias("trans_num"),
+        F.concat(F.lit("city"), F.col("id") % 7).alias("city"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("state"), F.col("id") % 5)).alias("state"),
+        (F.col("id") * 37 % 101).cast("double").alias("amt"),
+        F.when(((F.col("id") % 7).isin(2, 5)) | (F.col("id") * 37 % 101 > 80), 1).otherwise(0).alias("is_fraud"),
+    )
+    columns = ["amt", "city", "state"]
+    model = training.train_gbt(rows, columns, trees=4, depth=4)
+    learner = training.GBTClassifier(labelCol="target", weightCol=training.WEIGHT, maxIter=4, maxDepth=4, stepSize=training.RATE, seed=42, checkpointInterval=10)
+    whole = training._fit(rows, columns, learner)
+    assert model.pipeline.stages[-1].numFeatures <= 1 + 7 + 6 < whole.pipeline.stages[-1].numFeatures == 1 + training.HASH_WIDTH
+    asked = rows.unionByName(rows.withColumns({"city": F.lit("elsewhere"), "state": F.lit(None).cast("string"), "trans_num": F.concat(F.lit("u"), "trans_num")}))
+    found, wanted = (sorted(map(tuple, training.score(asked, m).select("trans_num", "prediction", "prediction_proba").collect())) for m in (model, whole))
+    assert found == wanted and len({row[2] for row in found}) > 2
