@@ -274,3 +274,38 @@ def test_boosted_trees_leave_out_hash_places_that_do_not_occur(spark):
     asked = rows.unionByName(rows.withColumns({"city": F.lit("elsewhere"), "state": F.lit(None).cast("string"), "trans_num": F.concat(F.lit("u"), "trans_num")}))
     found, wanted = (sorted(map(tuple, training.score(asked, m).select("trans_num", "prediction", "prediction_proba").collect())) for m in (model, whole))
     assert found == wanted and len({row[2] for row in found}) > 2
+
+
+def test_trees_read_tasks_of_equal_size(spark, monkeypatch):
+    """A small table lies in few files of any size; a level of a tree takes as long as its largest task."""
+    monkeypatch.setattr(training, "ROWS_PER_TASK", 500)
+    big, small = (spark.range(n, numPartitions=1).selectExpr("id", "id % 7 AS v") for n in (3_000, 40))
+    uneven = big.unionByName(small)
+    dealt = training._evenly(uneven)
+    sizes = [row["count"] for row in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3_040 and len(sizes) == training.tree_tasks(3_040, 8) == 7 and max(sizes) <= 1.5 * 3_040 / 7
+    assert rows_of(dealt) == rows_of(uneven)
+    even = spark.range(3_040, numPartitions=8).selectExpr("id", "id % 7 AS v")
+    assert training._evenly(even) is even
+
+
+def test_tasks_of_a_boosted_tree():
+    assert [training.tree_tasks(rows, 12) for rows in (0, 60_000, 4_200_000, 25_200_000)] == [1, 2, 12, 36]
+
+
+def test_a_fitted_boosted_tree_reads_even_tasks(spark, fact, monkeypatch):
+    """The learner is given the rows in tasks of one size, whatever the files of the table."""
+    monkeypatch.setattr(training, "ROWS_PER_TASK", 100)
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(rows):
+        seen.extend(row["count"] for row in rows.groupBy(F.spark_partition_id()).count().collect())
+        raise Stop
+
+    monkeypatch.setattr(training, "Pipeline", lambda stages: type("Fit", (), {"fit": staticmethod(stop)}))
+    with pytest.raises(Stop):
+        training.train_gbt(training.ft.engineered(fact).coalesce(1), ["amt", "age"])
+    assert len(seen) == min(8, -(-fact.count() // 100)) and max(seen) <= 1.5 * sum(seen) / len(seen)
