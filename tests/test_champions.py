@@ -1,5 +1,6 @@
 """The search races its trials; runs, models and the champion are stored and read back."""
 
+import threading
 from datetime import datetime
 
 import pytest
@@ -44,6 +45,30 @@ def test_search_and_promotion(spark, rows):
     assert version == 1 and training.score(test, stored).exceptAll(training.score(test, found.model)).isEmpty()
 
 
+def test_search_refits_beside_the_last_folds(rows, monkeypatch):
+    """Two trials, two folds: four fits and two refits wait for each other, so none may be left for the end."""
+    fit, met, tasks = training._fit_vectors, threading.Barrier(6, timeout=300), []
+
+    def together(vectors, params):
+        tasks.append(vectors.rdd.getNumPartitions())
+        met.wait()
+        return fit(vectors, params)
+
+    monkeypatch.setattr(training, "_fit_vectors", together)
+    monkeypatch.setattr(training, "ROWS_PER_TASK", 100)
+    draws = iter([1, 3])
+    found = training.search(rows, n_trials=2, space={"trees": lambda r: next(draws), "depth": lambda r: 2}, ratio=0.5, folds=2)
+    assert [(t.rung, t.n_folds) for t in found.trials.collect()] == [(0, 2), (0, 2)]
+    assert found.model.pipeline.stages[-1].getNumTrees == found.best["trees"]
+    # 2 tasks a core in all, not one for each 100 rows
+    assert all(n <= -(-2 * rows.sparkSession.sparkContext.defaultParallelism // 6) for n in tasks)
+
+
+def test_fit_tasks():
+    assert [training.fit_tasks(384_000, 12, fits) for fits in (1, 5, 12, 20)] == [8, 5, 2, 2]
+    assert training.fit_tasks(0, 12, 1) == 1 and training.fit_tasks(4_000_000, 12, 20) == 4
+
+
 def test_one_champion_at_a_time(spark, rows):
     registry = champions.Registry(spark, scratch_path(spark, "registry"))
     model = training.train_lr(rows, ["amt", "category"], iterations=2)
