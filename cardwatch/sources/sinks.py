@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -37,6 +38,29 @@ def insert_if_absent(
     return first.join(known, key, "left_anti")
 
 
+@contextmanager
+def _absent(batch: DataFrame, key: str, order: Sequence[Column], index: KeyIndex, seen: dict) -> Iterator[DataFrame]:
+    """The rows of `batch` to append: those of keys that are not in the index, the first of each.
+
+    Only the keys are shuffled, and the rows of new keys that come more than once; any other row is written by the task
+    that holds it.  The keys are held in the cache until the rows are written.
+    """
+    keys = batch.groupBy(key).agg((F.count(F.lit(1)) > 1).alias("_often")).persist()
+    stored = index.known(keys.select(key), seen).withColumn("_stored", F.lit(True))
+    often = keys.filter("_often").select(key, F.lit(False).alias("_stored"))
+    apart = stored.unionByName(often).groupBy(key).agg(F.max("_stored").alias("_stored")).persist()
+    try:
+        numbers = {row["_stored"]: row["count"] for row in apart.groupBy("_stored").count().collect()}
+        rows = batch.join(apart.select(key), key, "left_anti") if numbers else batch
+        if numbers.get(False):
+            again = batch.join(apart.filter(~F.col("_stored")).select(key), key, "left_semi")
+            rows = rows.unionByName(first_by_key(again, key, *order))
+        yield rows
+    finally:
+        apart.unpersist()
+        keys.unpersist()
+
+
 def append_if_absent(
     batch: DataFrame,
     path: str,
@@ -63,9 +87,8 @@ def append_if_absent(
     order = _order(batch, arrival)
     while not index.holds_batch(batch_id):
         seen = index.manifest()
-        known = index.known(stamped.select(key).distinct(), seen)
-        new = first_by_key(stamped, key, *order).join(known, key, "left_anti")
-        align_schema(new).write.mode("overwrite").parquet(folder)
+        with _absent(stamped, key, order, index, seen) as new:
+            align_schema(new).write.mode("overwrite").parquet(folder)
         if index.commit(batch_id, stored.parquet(folder).select(key), seen):
             break  # else another batch was committed meanwhile: its keys are looked up too
     return stored.parquet(folder)

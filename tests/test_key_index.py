@@ -65,3 +65,18 @@ def test_a_table_without_an_index_gets_one(spark, fact):
     sinks.align_schema(rows).write.parquet(f"{path}/batch_id=0")
     assert sinks.append_if_absent(rows, path, 1).count() == 0
     assert KeyIndex(spark, f"{path}/_keys", "trans_num").manifest()["batches"] == [[0, 1]]
+
+
+def test_append_moves_only_rows_of_repeated_new_keys(spark, fact, monkeypatch):
+    """Rows of stored keys are dropped and rows of keys that come once are written where they are: only copies of a new key are ranked."""
+    path, moved = scratch_path(spark, "fact"), []
+    rows = durable(fact.limit(60).withColumn("n", F.row_number().over(Window.orderBy("trans_num"))), "rows")
+    first = sinks.first_by_key
+    monkeypatch.setattr(sinks, "first_by_key", lambda df, key, *order: moved.append(sorted(r["n"] for r in df.collect())) or first(df, key, *order))
+    sinks.append_if_absent(rows.filter("n <= 20"), path, 0)
+    copies = rows.filter("n in (5, 30, 31)").withColumn("amt", F.lit(0).cast("decimal(10,2)"))
+    added = sinks.append_if_absent(rows.unionByName(copies), path, 1, arrival=[F.col("amt")])
+    assert moved == [[30, 30, 31, 31]]
+    assert sorted(r["trans_num"] for r in added.collect()) == sorted(r["trans_num"] for r in rows.filter("n > 20").collect())
+    copied = [r["trans_num"] for r in copies.filter("n > 20").collect()]
+    assert {r["amt"] for r in added.filter(F.col("trans_num").isin(copied)).collect()} == {0}
