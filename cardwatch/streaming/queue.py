@@ -20,7 +20,7 @@ from cardwatch.plans.explain import Weight, attribute
 from cardwatch.plans.champions import Registry
 from cardwatch.plans.training import score
 from cardwatch.plans.warehouse import stg_transactions
-from cardwatch.schema import RAW_FIELDS, RAW_TEXT
+from cardwatch.schema import RAW_FIELDS, RAW_TEXT, SCORED_TRANSACTION
 from cardwatch.sources.files import TIMESTAMP_TEXT, place_new, read_newest, typed
 from cardwatch.sources.key_index import KeyIndex
 from cardwatch.sources.levels import LevelledTable
@@ -126,6 +126,10 @@ def prepare_batch(raw: DataFrame, rules: DataFrame) -> DataFrame:
     return fast_pass(ft.engineered(typed(raw)), rules)
 
 
+# columns of a scored batch that its outputs read
+WRITTEN = {*SCORED_TRANSACTION.names, "file_name", "unix_time"}
+
+
 def score_batch(
     raw: DataFrame, batch_id: int, target: str, outbox: str, ledger: str, rules: DataFrame,
     scorer: Scorer = unscored, weights: dict[str, Weight] | None = None,
@@ -137,7 +141,9 @@ def score_batch(
     counts as done before its rows are stored.
     """
     started = time.perf_counter()
-    scored = attribute(scorer(prepare_batch(raw, rules)), weights or {}).persist()
+    scored = attribute(scorer(prepare_batch(raw, rules)), weights or {})
+    # the cache holds what is written, its file and its order: not the features, which no output has
+    scored = scored.select(*[c for c in scored.columns if c in WRITTEN]).persist()
     rows = scored.count()
     elapsed_ms = (time.perf_counter() - started) * 1000.0
     if rows:

@@ -1,11 +1,14 @@
 """The key index: only buckets hit are read, retries change nothing, merges keep every key."""
 
+import pytest
 from pyspark.sql import Window, functions as F
 
+from cardwatch.schema import RAW_FIELDS
 from cardwatch.session import durable, scratch_path
-from cardwatch.sources import sinks
+from cardwatch.sources import fixture, sinks
 from cardwatch.sources.key_index import KeyIndex
 from cardwatch.sources.levels import add_batch
+from cardwatch.streaming import queue
 
 
 def keys(spark, low, high):
@@ -80,3 +83,20 @@ def test_append_moves_only_rows_of_repeated_new_keys(spark, fact, monkeypatch):
     assert sorted(r["trans_num"] for r in added.collect()) == sorted(r["trans_num"] for r in rows.filter("n > 20").collect())
     copied = [r["trans_num"] for r in copies.filter("n > 20").collect()]
     assert {r["amt"] for r in added.filter(F.col("trans_num").isin(copied)).collect()} == {0}
+
+
+def test_a_batch_caches_what_is_written(spark, fact, monkeypatch):
+    cached = []
+
+    class Seen(Exception):
+        pass
+
+    def stop(batch, *args, **options):
+        cached.extend(batch.columns)
+        raise Seen
+
+    monkeypatch.setattr(queue, "append_if_absent", stop)
+    raw = fact.select(*[name for name, _ in RAW_FIELDS]).limit(5).withColumn("file_name", F.lit("f"))
+    with pytest.raises(Seen):
+        queue.score_batch(raw, 0, *[scratch_path(spark, name) for name in ("fact", "outbox", "ledger")], fixture.fixture_rules(spark))
+    assert {"trans_num", "shap_values", "file_name", "unix_time"} <= set(cached) and not {"hour_sin", "distance_achat", "age"} & set(cached)
