@@ -97,3 +97,21 @@ def test_shared_codes_keep_every_column(rows, monkeypatch):
 
 def test_training_uses_it(rows):
     assert isinstance(training._boosted({}), BoostedTrees)
+
+
+def jobs_of(spark, work):
+    """How many Spark jobs `work` runs, its threads' included."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_trial_of_the_search_runs_no_job_a_level(spark, rows):
+    vectors = rows.select(F.col("target").cast("int").alias(training.LABEL), "features")
+    params = {"trees": 30, "depth": 4, "subsample": 0.8, "feature_share": 0.7, "positive_weight": 3.0, "min_rows": 2}
+    assert 0 < jobs_of(spark, lambda: training._fit_vectors(vectors, params)) < 30
+
