@@ -115,3 +115,7 @@ def test_a_trial_of_the_search_runs_no_job_a_level(spark, rows):
     params = {"trees": 30, "depth": 4, "subsample": 0.8, "feature_share": 0.7, "positive_weight": 3.0, "min_rows": 2}
     assert 0 < jobs_of(spark, lambda: training._fit_vectors(vectors, params)) < 30
 
+
+def test_feature_sets_run_no_job_a_level(spark, fact):
+    sets = {"raw": training.ft.FEATURE_SETS["raw_2_no_personal_ids"], "cell": training.ft.FEATURE_SETS["cell_1_all_columns"]}
+    assert 0 < jobs_of(spark, lambda: training.sweep(fact, sets, trees=25, depth=4)) < 2 * 25 * 4
